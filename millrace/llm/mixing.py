@@ -93,7 +93,7 @@ def mix_sources(docs: DataFrame, weigh=cyclic_weights, share: float = 1.5, passe
     size, n = total["size"] or 0, total["n"] or 0
     budget = size * share
     level = water_level(sources, budget, passes)
-    parts = buckets_for(n)
+    parts = buckets_for(n, least=256)
     # running size within a source: by range of the shuffle, then within the range
     ranged = rows.withColumn("range", F.floor(F.col("place") * parts))
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("sum"))
