@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op6_embeddings
 from .langid import op10_langid
 from .mixing import op1_mixing
+from .neardup import op3_jaccard
 from .packing import op7_packing
 from .quality import op2_quality
 from .rules import op4_rules
 from .secrets import op8_secrets
+from .sharding import op5_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
+    "op3_jaccard": op3_jaccard,
     "op4_rules": op4_rules,
+    "op5_sharding": op5_sharding,
+    "op6_embeddings": op6_embeddings,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
     "op10_langid": op10_langid,
