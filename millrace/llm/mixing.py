@@ -81,13 +81,14 @@ def _cut_time(items: DataFrame, budget: float, top: float) -> float:
     return math.nextafter(low, -math.inf) if last is None else last
 
 
-def mix_sources(docs: DataFrame, weigh=cyclic_weights, share: float = 1.5, passes: int = 2, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, weigh=cyclic_weights, share: float = 1.5, passes: int = 2, seed: int = 17, keep_tie: bool = False) -> DataFrame:
     """``docs``: doc_id, source, size, tie (any value that tells equal ids apart).
 
     ``weigh`` adds a positive column ``weight`` to (source, source_size).
     The budget is ``share`` of all sizes; a source is read ``passes`` times at
     most. Returns doc_id, size, source, source_size, weight, target, taken."""
-    rows = cut(docs.select("doc_id", "source", "size", uniform(F.lit(seed), "doc_id", "tie").alias("place")))
+    extra = ["tie"] if keep_tie else []
+    rows = cut(docs.select("doc_id", "source", "size", *extra, uniform(F.lit(seed), "doc_id", "tie").alias("place")))
     sources = cut(weigh(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))))
     total = sources.agg(F.sum("source_size").alias("size"), F.sum("n").alias("n")).first()
     size, n = total["size"] or 0, total["n"] or 0
@@ -103,7 +104,7 @@ def mix_sources(docs: DataFrame, weigh=cyclic_weights, share: float = 1.5, passe
     summed = ranged.withColumn("inner", F.sum("size").over(inner))
     met = summed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     known = sources.select(F.col("source").alias("k"), "source_size", "weight")
-    queued = met.join(known, F.col("source").eqNullSafe(F.col("k"))).select("doc_id", "source", "size", "source_size", "weight", (F.col("start") + F.col("inner")).alias("upto"))
+    queued = met.join(known, F.col("source").eqNullSafe(F.col("k"))).select(*extra, "doc_id", "source", "size", "source_size", "weight", (F.col("start") + F.col("inner")).alias("upto"))
     queued = cut(queued)
     times = [(F.col("upto") + F.col("source_size") * i) / F.col("weight") for i in range(passes)]
     items = queued.filter("size > 0").select("size", F.explode(F.array(*times)).alias("time"))
@@ -111,7 +112,21 @@ def mix_sources(docs: DataFrame, weigh=cyclic_weights, share: float = 1.5, passe
     last = _cut_time(items, budget, top) if size else 0.0
     taken = sum((F.when(t <= last, F.col("size")).otherwise(0) for t in times), F.lit(0))
     target = F.least(F.col("source_size") * float(passes), F.lit(level) * F.col("weight"))
-    return queued.select("doc_id", "size", "source", "source_size", "weight", target.cast("double").alias("target"), taken.cast("long").alias("taken"))
+    return queued.select(*extra, "doc_id", "size", "source", "source_size", "weight", target.cast("double").alias("target"), taken.cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, broadcast_rows: int = 200_000, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, once for each time the mix takes them."""
+    tie = F.xxhash64("text")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tie.alias("tie"))
+    taken = mix_sources(sized, keep_tie=True, **options).filter("taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.ceil(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    times = cut(times)
+    # ids and counts alone; they are broadcast only up to a fixed number
+    side = F.broadcast(times) if times.count() <= broadcast_rows else times
+    met = docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]) & (tie == side["_tie"]))
+    again = met.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

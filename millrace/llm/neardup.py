@@ -280,5 +280,18 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.select(real("a.id").alias("doc_id"), real("t.class_id").alias("class_id"), F.col("t.n_links").alias("n_links"), F.col("a.n").alias("n_shingles"), (F.col("a.id") == F.col("t.class_id")).alias("kept"))
 
 
+def without_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each class."""
+    found = cut(jaccard_join(docs, threshold).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "kept"))
+    gone = found.filter("not kept").select("_id").distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    rest = docs.join(gone, key == F.col("_id"), "left_anti")
+    kept = found.filter("kept")
+    single = kept.groupBy("_id").count().filter("count > 1").isEmpty()
+    return rest if single else rest.dropDuplicates(["doc_id"])
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))

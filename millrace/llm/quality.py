@@ -180,6 +180,21 @@ def score(docs: DataFrame, model: CumulativeLink | None, limit: float) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id bigint, expected_grade double, top_probability double, kept boolean")
 
 
+def select_documents(docs: DataFrame, model: CumulativeLink | None, limit: float) -> DataFrame:
+    """The rows of ``docs``, all columns, that reach the limit."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, at):
+            if model is not None:
+                tail = model.tail(model.place(*features(b.column(at)), b.num_rows))
+                b = b.filter(pa.array(tail[:, -1] >= limit))
+            yield b
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, *fit(docs, table(spark, sf_dir, "labels")))

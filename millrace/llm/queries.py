@@ -15,6 +15,7 @@ from .quality import op2_quality
 from .rules import op4_rules
 from .secrets import op8_secrets
 from .sharding import op5_sharding
+from .substrings import op9_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embeddings": op6_embeddings,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
+    "op9_substrings": op9_substrings,
     "op10_langid": op10_langid,
 }
 
