@@ -23,7 +23,7 @@ SETTINGS = {
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
-_EXTRA = ("src", "block", "seq", "value", "_reason", "_misfit")
+_EXTRA = ("__src", "__block", "__seq", "__line", "_reason", "_misfit")
 
 
 @contextmanager
@@ -86,20 +86,30 @@ def _split(rows: DataFrame, cfg: Config) -> DataFrame:
     return rows.withColumn("_reason", F.coalesce("_reason", F.when(F.size("_misfit") > 0, MISFIT)))
 
 
+def _first_misfit(rows: DataFrame) -> str | None:
+    """Name of a column that some line's value does not fit. An aggregate, not a
+    filter: the optimizer would copy every column's reading into a filter."""
+    unfit = F.when(F.col("_reason").isNull() & (F.size("_misfit") > 0), F.element_at("_misfit", 1))
+    return rows.agg(F.max(unfit)).first()[0]
+
+
 def to_dataframe(spark: SparkSession, cfg: Config, lines: DataFrame | None = None) -> DataFrame:
     """The typed rows, lazily. Bad lines are left out, or raise under ``abort``.
 
-    Under ``auto`` one scan looks for values that the sample's types don't fit."""
+    Without a frozen or fully inferred schema, one scan looks for values that
+    the types don't fit: they widen their column, or raise where that is off."""
     with settings(spark):
         df, rows, schema, _ = _rows(spark, cfg, lines)
-        if schema is not None and _can_widen(cfg) and not rows.filter("_reason is null and size(_misfit) > 0").isEmpty():
+        sure = schema is None or cfg.frozen_schema or cfg.infer_scope == "full" and not cfg.schema_override
+        if not sure and (name := _first_misfit(rows)):
+            if not _can_widen(cfg):
+                raise ConversionError(f"a value does not fit column {name}")
             schema = _widened(df, schema, cfg)
             rows = extract(df, schema, cfg.raw_json)
+            if cfg.schema_override and (name := _first_misfit(rows)):
+                raise ConversionError(f"a value does not fit column {name}")
         rows = _split(rows, cfg)
         names = [f"`{c}`" for c in rows.columns if c not in _EXTRA]
-        if not cfg.frozen_schema:
-            fits = F.when(F.col("_reason").isNull() & (F.size("_misfit") > 0), F.raise_error(F.concat(F.lit("value does not fit column "), F.col("_misfit")[0])))
-            rows = rows.filter(fits.isNull())
         if cfg.on_error is OnError.ABORT:
             rows = rows.filter(F.when(F.col("_reason").isNotNull(), F.raise_error(F.col("_reason"))).isNull())
         return rows.filter("_reason is null").select(*names)
@@ -109,7 +119,7 @@ def collect_errors(spark: SparkSession, cfg: Config, lines: DataFrame | None = N
     """Bad lines as ``(line_no bigint, reason string, raw string)``."""
     with settings(spark):
         df, rows, _, _ = _rows(spark, cfg, lines)
-        bad = _split(rows, cfg).filter("_reason is not null").select("src", "block", "seq", F.col("_reason").alias("reason"), F.col("value").alias("raw"))
+        bad = _split(rows, cfg).filter("_reason is not null").select("__src", "__block", "__seq", F.col("_reason").alias("reason"), F.col("__line").alias("raw"))
         return with_line_numbers(df, bad).select("line_no", "reason", "raw")
 
 
@@ -158,7 +168,7 @@ def convert(spark: SparkSession, cfg: Config, lines: DataFrame | None = None) ->
             break
         errors: tuple[ParseError, ...] = ()
         if cfg.on_error is OnError.COLLECT and counts["bad"]:
-            picked = out.filter(bad).select("src", "block", "seq", F.col("_reason").alias("reason"), F.col("value").alias("raw"))
+            picked = out.filter(bad).select("__src", "__block", "__seq", F.col("_reason").alias("reason"), F.col("__line").alias("raw"))
             errors = tuple(ParseError(r["line_no"], r["reason"], r["raw"]) for r in with_line_numbers(df, picked).orderBy("line_no").collect())
         good = counts["all"] - counts["bad"]
         return stats(PipelineState.DONE, rows_read=good, rows_written=good, rows_skipped=counts["bad"], bytes_in=bytes_in, bytes_out=bytes_out, errors=errors)

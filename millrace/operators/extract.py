@@ -137,16 +137,16 @@ def _read(line: Column, x: Column, tag: Column, micros: Column, c: ColumnSchema,
 def extract(lines: DataFrame, schema: InferredSchema, raw_json: str = "compact") -> DataFrame:
     """Adds the schema's columns to ``lines`` along with ``_reason`` and ``_misfit``."""
     if schema.duplicate_keys:
-        lines = lines.withColumn("value", _first_keys("value"))
-    parsed = lines.withColumn("_v", F.when(F.col("value").rlike(_OBJECT), F.try_parse_json("value")))
-    line, v = F.col("value"), F.col("_v")
+        lines = lines.withColumn("__line", _first_keys("__line"))
+    parsed = lines.withColumn("_v", F.when(F.col("__line").rlike(_OBJECT), F.try_parse_json("__line")))
+    line, v = F.col("__line"), F.col("_v")
     ok = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
     not_object = F.try_parse_json(line).isNotNull() & ~line.rlike(r"^\s*\{")
     # "" as a key has no column name
     nameless = ok & line.contains('"":') & F.array_contains(F.json_object_keys(line), "")
     reason = F.when(nameless, "empty key").when(~F.coalesce(ok, F.lit(False)), F.when(not_object, NOT_OBJECT).otherwise(BAD_JSON))
     # one projection a step, so that each piece is computed once
-    base = parsed.select("src", "block", "seq", "value", reason.alias("_reason"), *[_find(v, c.json_path).alias(f"_x{i}") for i, c in enumerate(schema.columns)])
+    base = parsed.select("__src", "__block", "__seq", "__line", reason.alias("_reason"), *[_find(v, c.json_path).alias(f"_x{i}") for i, c in enumerate(schema.columns)])
     keep = list(base.columns)
     tagged = base.select(*keep, *[F.schema_of_variant(f"_x{i}").alias(f"_t{i}") for i in range(len(schema.columns))])
     times = [i for i, c in enumerate(schema.columns) if c.type is LogicalType.TIMESTAMP]
@@ -155,4 +155,4 @@ def extract(lines: DataFrame, schema: InferredSchema, raw_json: str = "compact")
     got = [(c.name, *_read(line, F.col(f"_x{i}"), F.col(f"_t{i}"), F.col(f"_m{i}"), c, schema.seen.get(c.json_path, set()), raw_json)) for i, c in enumerate(schema.columns)]
     bad = [F.when(unfit, F.lit(name)) for name, _, unfit in got]
     misfit = F.filter(F.array(*bad), lambda n: n.isNotNull()) if got else F.array().cast("array<string>")
-    return timed.select("src", "block", "seq", "value", "_reason", misfit.alias("_misfit"), *[value.alias(name) for name, value, _ in got])
+    return timed.select("__src", "__block", "__seq", "__line", "_reason", misfit.alias("_misfit"), *[value.alias(name) for name, value, _ in got])

@@ -69,12 +69,12 @@ def infer_all(lines: DataFrame, cfg: Config) -> InferredSchema:
                         found[path][1] = at
                     found[path][0] |= 1 << kind.code
         out = [(p, bits, *at, 0, False) for p, (bits, at) in found.items()] + [(None, 0, 0, "", 0, 0, rows, repeats)]
-        names = ["path", "bits", "src", "block", "seq", "place", "rows", "repeats"]
+        names = ["path", "bits", "__src", "__block", "__seq", "place", "rows", "repeats"]
         types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    found = lines.select("src", "block", "seq", "value").mapInArrow(paths, "path string, bits bigint, src int, block string, seq bigint, place bigint, rows bigint, repeats boolean")
-    at = F.min(F.struct("src", "block", "seq", "place")).alias("at")
+    found = lines.select("__src", "__block", "__seq", "__line").mapInArrow(paths, "path string, bits bigint, __src int, __block string, __seq bigint, place bigint, rows bigint, repeats boolean")
+    at = F.min(F.struct("__src", "__block", "__seq", "place")).alias("at")
     rows = found.groupBy("path").agg(F.bit_or("bits").alias("bits"), at, F.sum("rows").alias("rows"), F.max("repeats").alias("repeats")).collect()
     total = next((r for r in rows if r["path"] is None), None)
     ordered = sorted((r for r in rows if r["path"] is not None), key=lambda r: tuple(r["at"]))

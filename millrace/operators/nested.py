@@ -74,12 +74,12 @@ def _hollow(t: T.DataType) -> bool:
 
 def extract_nested(lines: DataFrame, tree: dict) -> DataFrame:
     schema = to_spark(tree)
-    line = F.col("value")
+    line = F.col("__line")
     parsed = F.when(line.rlike(r"(?s)^\s*\{.*\}\s*$"), F.try_parse_json(line))
     ok = parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
     not_object = F.try_parse_json(line).isNotNull() & ~line.rlike(r"^\s*\{")
     reason = F.when(~F.coalesce(ok, F.lit(False)), F.when(not_object, NOT_OBJECT).otherwise(BAD_JSON))
     row = F.from_json(line, schema, {"mode": "PERMISSIVE"}) if schema.fields else None
-    out = lines.select("src", "block", "seq", "value", reason.alias("_reason"), F.array().cast("array<string>").alias("_misfit"), *([row.alias("_row")] if row is not None else []))
+    out = lines.select("__src", "__block", "__seq", "__line", reason.alias("_reason"), F.array().cast("array<string>").alias("_misfit"), *([row.alias("_row")] if row is not None else []))
     fields = [F.col("_row").getField(f.name).alias(f.name) for f in schema.fields]
-    return out.select("src", "block", "seq", "value", "_reason", "_misfit", *fields)
+    return out.select("__src", "__block", "__seq", "__line", "_reason", "_misfit", *fields)

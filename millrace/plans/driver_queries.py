@@ -267,6 +267,6 @@ def raw_dump_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, lines = _scratch(spark), _events(spark, sf_dir)
     schema = finish(infer_lines(first_lines(lines, 1000), _cfg()), _cfg())
-    lines.select("value").write.text(f"{folder}/in")
+    lines.select(F.col("__line").alias("value")).write.text(f"{folder}/in")
     stream_to_parquet(spark, f"{folder}/in", schema, f"{folder}/out", f"{folder}/state").awaitTermination()
     return _plain(spark, spark.read.parquet(f"{folder}/out"))

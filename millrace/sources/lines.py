@@ -1,7 +1,8 @@
-"""Lines of text as a DataFrame ``(src int, block string, seq long, value string)``.
+"""Lines of text as a DataFrame ``(__src int, __block string, __seq
+long, __line string)``.
 
-``src`` is the input's place in the list, ``block`` orders what Spark read in
-one piece within it (file and start offset), ``seq`` orders lines within a
+``__src`` is the input's place in the list, ``__block`` orders what Spark read in
+one piece within it (file and start offset), ``__seq`` orders lines within a
 block. Empty lines are gone and one trailing carriage return is stripped.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..plans.config import MAX_LINE_BYTES
 
-SCHEMA = "src int, block string, seq bigint, value string"
+SCHEMA = "__src int, __block string, __seq bigint, __line string"
 
 
 def _clean(value: Column, cap: int) -> Column:
@@ -72,8 +73,8 @@ def read_lines(spark: SparkSession, inputs: list[str], max_line_bytes: int = MAX
         # the default separator would also split on a lone carriage return
         raw = spark.read.option("lineSep", "\n").text(path)
         at = F.concat_ws(":", F.col("_metadata.file_path"), F.format_string("%019d", F.col("_metadata.file_block_start")))
-        df = raw.select(F.lit(i).alias("src"), at.alias("block"), _clean(F.col("value"), max_line_bytes).alias("value"))
-        parts.append(df.filter("value <> ''").select("src", "block", F.monotonically_increasing_id().alias("seq"), "value"))
+        df = raw.select(F.lit(i).alias("__src"), at.alias("__block"), _clean(F.col("value"), max_line_bytes).alias("__line"))
+        parts.append(df.filter("__line <> ''").select("__src", "__block", F.monotonically_increasing_id().alias("__seq"), "__line"))
     if not parts:
         return spark.createDataFrame([], SCHEMA)
     out = parts[0]
@@ -84,8 +85,8 @@ def read_lines(spark: SparkSession, inputs: list[str], max_line_bytes: int = MAX
 
 def lines_from_column(df: DataFrame, value: str, order: str, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """Lines already in a column, in the order of a bigint column of the same table."""
-    df = df.select(F.lit(0).alias("src"), F.lit("").alias("block"), F.col(order).cast("bigint").alias("seq"), _clean(F.col(value), max_line_bytes).alias("value"))
-    return df.filter("value <> ''")
+    df = df.select(F.lit(0).alias("__src"), F.lit("").alias("__block"), F.col(order).cast("bigint").alias("__seq"), _clean(F.col(value), max_line_bytes).alias("__line"))
+    return df.filter("__line <> ''")
 
 
 def _files(spark: SparkSession, path: str) -> list[str]:
@@ -107,14 +108,14 @@ def first_file_lines(spark: SparkSession, inputs: list[str], n: int, max_line_by
         for file in _files(spark, path):
             if len(rows) >= n:
                 return rows
-            df = spark.read.option("lineSep", "\n").text(file).select(_clean(F.col("value"), max_line_bytes).alias("value"))
-            rows += [r[0] for r in df.filter("value <> ''").limit(n - len(rows)).collect()]
+            df = spark.read.option("lineSep", "\n").text(file).select(_clean(F.col("value"), max_line_bytes).alias("__line"))
+            rows += [r[0] for r in df.filter("__line <> ''").limit(n - len(rows)).collect()]
     return rows
 
 
 def first_lines(lines: DataFrame, n: int) -> list[str]:
     """The first n of lines that came from a column: a top-n by their order."""
-    rows = lines.orderBy("src", "block", "seq").limit(n).select("value").collect()
+    rows = lines.orderBy("__src", "__block", "__seq").limit(n).select("__line").collect()
     return [r[0] for r in rows]
 
 
@@ -122,5 +123,5 @@ def with_line_numbers(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` (a part of ``lines``) with line_no, counted from 1 over all lines."""
     from ..functions.order import with_position
 
-    numbered = with_position(lines.select("src", "block", "seq"), ["src", "block", "seq"], "_pos")
-    return rows.join(numbered, ["src", "block", "seq"]).withColumn("line_no", F.col("_pos") + 1).drop("_pos")
+    numbered = with_position(lines.select("__src", "__block", "__seq"), ["__src", "__block", "__seq"], "_pos")
+    return rows.join(numbered, ["__src", "__block", "__seq"]).withColumn("line_no", F.col("_pos") + 1).drop("_pos")

@@ -15,8 +15,8 @@ def stream_rows(spark: SparkSession, folder: str, schema: InferredSchema) -> Dat
     """A streaming DataFrame of typed rows; bad lines and misfits are left out.
     Stateless, so there is nothing to watermark."""
     raw = spark.readStream.option("lineSep", "\n").text(folder)
-    value = F.regexp_replace("value", "\r$", "").alias("value")
-    lines = raw.select(F.lit(0).alias("src"), F.lit("").alias("block"), F.lit(0).cast("bigint").alias("seq"), value).filter("value <> ''")
+    value = F.regexp_replace("value", "\r$", "").alias("__line")
+    lines = raw.select(F.lit(0).alias("__src"), F.lit("").alias("__block"), F.lit(0).cast("bigint").alias("__seq"), value).filter("__line <> ''")
     rows = extract(lines, schema).filter("_reason is null and size(_misfit) = 0")
     return rows.select(*[f"`{c.name}`" for c in schema.columns])
 
