@@ -4,9 +4,10 @@ Documents become token ids and an end mark (id 0); only documents longer than a
 sequence are cut. Pieces are dealt by hash into lots of bounded size and each
 lot is packed by best-fit decreasing. Dual feasible functions give a lower
 bound on the sequences a lot needs: where it is met, the lot is certified.
-Lots with a gap give up the pieces of their unfilled sequences; these are dealt
-into new, fewer lots and packed again, until no gap is left, nothing is won, or
-one lot holds all that is open.
+Lots with a gap give up the pieces of their unfilled sequences, and every lot
+those of its emptiest, whose room only other lots' pieces can fill; these are
+dealt into new, fewer lots and packed again, until nothing is open or one lot
+holds all that is.
 
 Nulls: a null text is an empty one, a single end mark. A null doc_id is a
 document. Repeated rows are packed each. An empty table gives an empty result.
@@ -183,7 +184,7 @@ def _pack_lot(lot: pd.DataFrame) -> pd.DataFrame:
     first = np.concatenate([[True], np.diff(bins[by_bin]) > 0])
     offset = np.empty(len(lot), np.int64)
     offset[by_bin] = sums - np.repeat(sums[first], np.diff(np.append(np.flatnonzero(first), len(lot))))
-    return lot.assign(bin=bins, offset=offset, open=(gap > 0) & (filled[bins] < CAPACITY), gap=gap)
+    return lot.assign(bin=bins, offset=offset, open=(filled[bins] < CAPACITY) & ((gap > 0) | (bins == filled.argmin())), gap=gap)
 
 
 def pack(pieces: DataFrame, lot_rows: int = LOT, rounds: int = ROUNDS) -> DataFrame:
