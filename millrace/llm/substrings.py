@@ -165,7 +165,9 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(id, t1, t2, first, last): runs of starts of repeated windows; first -1 for whole texts."""
-    level1 = anchors(docs, False).join(_repeated(anchors(docs, True), "seed"), "seed")
+    # stored first: a count beside the join would keep Spark from splitting a hot seed
+    often = cut(_repeated(anchors(docs, True), "seed"))
+    level1 = anchors(docs, False).join(often, "seed")
     level1 = cut(level1.select(*_ANCHOR))
     sides = level1.select(F.lit(0).alias("side"), F.col("right").alias("h")).unionByName(level1.select(F.lit(1).alias("side"), F.col("left").alias("h"))).filter("h is not null")
     twice = cut(_repeated(sides, "side", "h"))
