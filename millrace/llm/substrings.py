@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import small_batches, stored, table
 from .hashing import Words, inside, mix, rows_of, slices, window_hashes
 
 WINDOW = 35
@@ -38,7 +38,8 @@ SPAN = WINDOW - SEED + 1
 #: Documents whose ids are broadcast to read their texts again; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 NO_ID = -(2**63)
-_KEY = ["id", "t1", "t2"]
+#: A text of a document; t2 beside t1 tells texts of different documents apart.
+_KEY = ["id", "t1"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -85,8 +86,8 @@ def named_places(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return p, p - own[last], p - own[first]
 
 
-_ANCHOR = ["id", "t1", "t2", "place", "least", "most", "seed", "right", "left", "s1", "s2"]
-_ANCHOR_DDL = "id bigint, t1 bigint, t2 bigint, place int, least int, most int, seed bigint, right bigint, left bigint, s1 bigint, s2 bigint"
+_ANCHOR = ["id", "t1", "place", "least", "most", "seed", "right", "left", "s1", "s2"]
+_ANCHOR_DDL = "id bigint, t1 bigint, place int, least int, most int, seed bigint, right bigint, left bigint, s1 bigint, s2 bigint"
 
 
 def anchors(docs: DataFrame, seeds_only: bool) -> DataFrame:
@@ -118,7 +119,7 @@ def anchors(docs: DataFrame, seeds_only: bool) -> DataFrame:
             left, has_left = double[np.maximum(place - SEED, 0).clip(max=n - 1)], place - SEED >= begin
             start, length = place - most, most - least + WINDOW
             h2 = words.hashes(1)
-            columns = [*[b.column(c).take(pa.array(row)) for c in range(3)], *[pa.array(x.astype(np.int32)) for x in (place - begin, least, most)], seed]
+            columns = [*[b.column(c).take(pa.array(row)) for c in range(2)], *[pa.array(x.astype(np.int32)) for x in (place - begin, least, most)], seed]
             columns += [pa.array(right.view(np.int64), mask=~has_right), pa.array(left.view(np.int64), mask=~has_left)]
             columns += [pa.array(_stretch(h, start, length, 0).view(np.int64)), pa.array(_stretch(h2, start, length, 1).view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, _ANCHOR)
@@ -132,22 +133,22 @@ def _repeated(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """35-word windows at given places, hashed to 128 bits: (id, t1, t2, start, open, w1, w2)."""
+    """35-word windows at given places, hashed to 128 bits: (id, t1, start, open, w1, w2)."""
     lists = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("place", "least", "most", "open")).alias("at"))
-    lists = cut(lists)
+    lists = stored(lists)
     few = lists.count() <= BROADCAST_ROWS
     texts = _keyed(docs)
     if few:  # ids first, so that only the texts needed are moved
         texts = texts.join(F.broadcast(lists.select(*_KEY)), _KEY, "left_semi")
     met = texts.dropDuplicates(_KEY).join(lists, _KEY) if few else texts.join(lists, _KEY)
-    names = ["id", "t1", "t2", "start", "open", "w1", "w2"]
+    names = ["id", "t1", "start", "open", "w1", "w2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 3):
-            words = Words(b.column(3))
+        for b in slices(batches, 2):
+            words = Words(b.column(2))
             h, h2 = words.hashes(), words.hashes(1)
             w1, w2 = window_hashes(h, WINDOW), window_hashes(h2, WINDOW, 1)
-            lists = b.column(4)
+            lists = b.column(3)
             flat = lists.flatten()
             row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
             place, least, most, is_open = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -157,30 +158,30 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             start = (place - most)[which] + step
             at = words.offsets[row[which]] + start
             back = pa.array(row[which])
-            columns = [*[b.column(c).take(back) for c in range(3)], pa.array(start.astype(np.int32)), pa.array(is_open[which]), pa.array(w1[at].view(np.int64)), pa.array(w2[at].view(np.int64))]
+            columns = [*[b.column(c).take(back) for c in range(2)], pa.array(start.astype(np.int32)), pa.array(is_open[which]), pa.array(w1[at].view(np.int64)), pa.array(w2[at].view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return met.select(*_KEY, "text", "at").mapInArrow(run, "id bigint, t1 bigint, t2 bigint, start int, open boolean, w1 bigint, w2 bigint")
+    return met.select(*_KEY, "text", "at").mapInArrow(run, "id bigint, t1 bigint, start int, open boolean, w1 bigint, w2 bigint")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, t1, t2, first, last): runs of starts of repeated windows; first -1 for whole texts."""
+    """(id, t1, first, last): runs of starts of repeated windows; first -1 for whole texts."""
     # stored first: a count beside the join would keep Spark from splitting a hot seed
-    often = cut(_repeated(anchors(docs, True), "seed"))
+    often = stored(_repeated(anchors(docs, True), "seed"))
     level1 = anchors(docs, False).join(often, "seed")
-    level1 = cut(level1.select(*_ANCHOR))
+    level1 = stored(level1.select(*_ANCHOR))
     sides = level1.select(F.lit(0).alias("side"), F.col("right").alias("h")).unionByName(level1.select(F.lit(1).alias("side"), F.col("left").alias("h"))).filter("h is not null")
-    twice = cut(_repeated(sides, "side", "h"))
+    twice = stored(_repeated(sides, "side", "h"))
     r = twice.filter("side = 0").select(F.col("h").alias("right"), F.lit(True).alias("r"))
     l = twice.filter("side = 1").select(F.col("h").alias("left"), F.lit(True).alias("l"))  # noqa: E741
     level2 = level1.join(r, "right", "left").join(l, "left", "left")
     # windows at offsets up to 17 hold the right side, those from 9 on the left side
     level2 = level2.withColumn("from", F.when(F.col("r").isNull(), F.greatest("least", F.lit(TWICE))).otherwise(F.col("least")))
     level2 = level2.withColumn("to", F.when(F.col("l").isNull(), F.least("most", F.lit(SEED - 1))).otherwise(F.col("most"))).filter(F.col("from") <= F.col("to"))
-    level2 = cut(level2.select(*_KEY, "place", "least", "most", "from", "to", "seed", "s1", "s2"))
+    level2 = stored(level2.select(*_KEY, "place", "least", "most", "from", "to", "seed", "s1", "s2"))
     # whole stretches
     first = F.min(F.struct(*_KEY, "place", "least", "most")).alias("first")
-    classes = cut(level2.groupBy("seed", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), first))
+    classes = stored(level2.groupBy("seed", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), first))
     again = classes.filter("n > 1").select("s1", "s2", F.lit(True).alias("again"))
     met = level2.join(again, ["s1", "s2"], "left")
     whole = met.filter("again").select(*_KEY, (F.col("place") - F.col("most")).alias("first"), (F.col("place") - F.col("least")).alias("last"))
@@ -188,9 +189,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     # a unique stretch may share windows with a repeated one of the same seed
     seeds = classes.filter("n = 1").select("seed").distinct()
     partners = classes.filter("n > 1").join(seeds, "seed", "left_semi").select("first.*").withColumn("open", F.lit(False))
-    rows = cut(windows(docs, single.unionByName(partners)))
+    rows = stored(windows(docs, single.unionByName(partners)))
     ones = rows.filter("open").join(_repeated(rows, "w1", "w2"), ["w1", "w2"]).select(*_KEY, F.col("start").alias("first"), F.col("start").alias("last"))
-    keyed = _keyed(docs).select(*_KEY)
+    keyed = _keyed(docs).select(*_KEY, "t2")
     copies = keyed.join(_repeated(keyed.filter("t1 is not null"), "t1", "t2"), ["t1", "t2"]).select(*_KEY, F.lit(-1).alias("first"), F.lit(-1).alias("last"))
     return whole.unionByName(ones).unionByName(copies.distinct())
 
@@ -198,9 +199,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of every row."""
     marks = repeats(docs).groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("at"))
-    m = marks.select(F.col("id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "at")
+    m = marks.select(F.col("id").alias("_id"), F.col("t1").alias("_t1"), "at")
     texts = _keyed(docs)
-    met = texts.join(m, (texts["id"] == m["_id"]) & (texts["t1"] == m["_t1"]) & (texts["t2"] == m["_t2"]), "left")
+    met = texts.join(m, (texts["id"] == m["_id"]) & (texts["t1"] == m["_t1"]), "left")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
