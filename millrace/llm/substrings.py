@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import cut, small_batches, stored, table
 from .hashing import Words, inside, mix, rows_of, slices, window_hashes
 
 WINDOW = 35
@@ -178,7 +178,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     # windows at offsets up to 17 hold the right side, those from 9 on the left side
     level2 = level2.withColumn("from", F.when(F.col("r").isNull(), F.greatest("least", F.lit(TWICE))).otherwise(F.col("least")))
     level2 = level2.withColumn("to", F.when(F.col("l").isNull(), F.least("most", F.lit(SEED - 1))).otherwise(F.col("most"))).filter(F.col("from") <= F.col("to"))
-    level2 = stored(level2.select(*_KEY, "place", "least", "most", "from", "to", "seed", "s1", "s2"))
+    # a checkpoint keeps the parts that a hot window was split into apart; Parquet files would be read together
+    level2 = cut(level2.select(*_KEY, "place", "least", "most", "from", "to", "seed", "s1", "s2"))
     # whole stretches
     first = F.min(F.struct(*_KEY, "place", "least", "most")).alias("first")
     classes = stored(level2.groupBy("seed", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), first))
