@@ -15,6 +15,8 @@ probability 5e-8. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.
 
 Nulls: a null text has no words; a document without words links with nothing.
 A null doc_id is an id of its own kind. Repeated rows are copies of each other.
+Ids need not be unique: classes are told apart by a hash of their shingles, rows
+of one id by a hash of their text, and only the class_id is a doc_id.
 An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -90,10 +92,15 @@ def minhashes(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(id, text, t): the id without nulls, and a hash that tells texts of one id apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text", F.xxhash64("text").alias("t"))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """(id, k1, k2, n, bands, sig): keys of the shingle set, band keys, and the
+    """(id, t, k1, k2, n, bands, sig): keys of the shingle set, band keys, and the
     low bytes of the MinHash values."""
-    names = ["id", "k1", "k2", "n", "bands", "sig"]
+    names = ["id", "t", "k1", "k2", "n", "bands", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -105,12 +112,11 @@ def sketch(docs: DataFrame) -> DataFrame:
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, i])
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(low) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(key.astype(np.uint64).view(np.int64).ravel()))
             sig = pa.array([r.tobytes() for r in low.astype(np.uint8)], pa.binary())
-            columns = [b.column(0), pa.array(_sums(mix(h0), at).view(np.int64)), pa.array(_sums(mix(h1), at).view(np.int64)), pa.array(np.diff(at)), bands, sig]
+            columns = [b.column(0), b.column(2), pa.array(_sums(mix(h0), at).view(np.int64)), pa.array(_sums(mix(h1), at).view(np.int64)), pa.array(np.diff(at)), bands, sig]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     small_batches(docs.sparkSession)
-    ided = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text")
-    return ided.mapInArrow(run, "id bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>, sig binary")
+    return keyed_texts(docs).mapInArrow(run, "id bigint, t bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>, sig binary")
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -142,9 +148,9 @@ def survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Links (a, b) that join what survives pruning; ``classes``: id, bands, sig."""
+    """Links (a, b) that join what survives pruning; ``classes``: node, n, bands, sig."""
     least = least_matches()
-    rows = classes.filter("n > 0")
+    rows = classes.filter("n > 0").select(F.col("node").alias("id"), "bands", "sig")
     keys = rows.select("id", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = keys.join(full, "key").join(rows.select("id", "sig"), "id").select("key", "size", "id", "sig")
@@ -205,18 +211,22 @@ def intersections(members: list[np.ndarray]) -> np.ndarray:
 
 
 def verify(texts: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, links, hub): exact links of each class within its candidate group,
-    counted in copies, and its local centre. ``groups``: id, root, k1, copies, size."""
+    """(id, links, hub): exact links of each class (by node) within its candidate
+    group, counted in copies, and its local centre. ``groups``: id, t, node, root,
+    copies, size."""
     few = groups.count() <= BROADCAST_ROWS
-    picked = texts.join(F.broadcast(groups) if few else groups, "id").select("id", "text", "root", "k1", "copies", "size")
+    picked = texts.join(F.broadcast(groups) if few else groups, ["id", "t"]).select("node", "text", "root", "copies", "size")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in slices(batches):
-            (h,), at = shingle_sets(b.column(1))
-            same = _sums(mix(h), at).view(np.int64) == b.column(3).to_numpy()  # else another text of this id
-            raw = pa.array([h[at[i] : at[i + 1]].tobytes() for i in np.flatnonzero(same)], pa.binary())
-            rest = b.filter(pa.array(same))
-            yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(2), rest.column(4), rest.column(5), raw], ["id", "root", "copies", "size", "shingles"])
+            fresh = [i for i, node in enumerate(b.column(0).to_pylist()) if node not in seen and not seen.add(node)]  # repeated rows once
+            if not fresh:
+                continue
+            rest = b.take(pa.array(fresh))
+            (h,), at = shingle_sets(rest.column(1))
+            raw = pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(rest.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(2), rest.column(3), rest.column(4), raw], ["id", "root", "copies", "size", "shingles"])
 
     small_batches(texts.sparkSession)
     made = picked.mapInArrow(sets, "id bigint, root bigint, copies bigint, size bigint, shingles binary")
@@ -251,46 +261,57 @@ def verify(texts: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) ->
     return dealt.mapInArrow(run, "id bigint, links bigint, hub bigint")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, n_links, n_shingles, kept) of every row: the smallest
-    doc_id that links lead to, other documents linked directly (copies too),
-    and whether the row stays if one document of each class does."""
-    sketches = cut(sketch(docs))
-    key = F.when(F.col("n") == 0, F.col("id"))  # without words, nobody's copy
-    keyed = sketches.withColumn("own", key)
+def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, t, n, class_id, n_links, kept) of every row; ``id`` and ``class_id`` are NO_ID for null."""
+    # without words, nobody's copy
+    node = F.xxhash64("k1", "k2", "n", F.when(F.col("n") == 0, F.col("id")))
+    keyed = cut(sketch(docs)).withColumn("node", node)
     # the narrow aggregate first; what is wide comes along for one row a class
-    grouped = cut(keyed.groupBy("k1", "k2", "n", "own").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    first = sketches.select("id", F.col("k1").alias("_k"), "bands", "sig")
-    classes = grouped.join(first, "id").filter("_k = k1").dropDuplicates(["id"])
+    grouped = keyed.groupBy("node").agg(F.min(F.struct("id", "t")).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    grouped = cut(grouped.select("node", "first.id", "first.t", "n", "copies"))
+    classes = grouped.join(keyed.select("id", "t", "bands", "sig"), ["id", "t"]).dropDuplicates(["id", "t", "node"])
     proposed = components(candidates(classes))
     roots = proposed.select(F.col("root").alias("node"), "root").distinct()
     members = cut(proposed.unionByName(roots))
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    groups = members.join(sizes, "root").join(grouped.filter("n > 0").select("id", "k1", "copies"), F.col("node") == F.col("id")).select("id", "root", "k1", "copies", "size")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text")
-    linked = cut(verify(texts, cut(groups), threshold))
+    groups = members.join(sizes, "root").join(grouped.select("node", "id", "t", "copies"), "node")
+    linked = cut(verify(keyed_texts(docs), cut(groups), threshold))
     final = components(linked.select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    links = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    told = grouped.join(links, "id", "left").join(final, grouped["id"] == final["node"], "left")
-    told = cut(told.select("k1", "k2", "n", "own", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.when(F.col("n") > 0, F.col("copies") - 1).otherwise(0)).alias("n_links")))
-    a, t = keyed.select("id", "k1", "k2", "n", "own").alias("a"), told.alias("t")
-    same = [F.col(f"a.{c}") == F.col(f"t.{c}") for c in ("k1", "k2", "n")]
-    out = a.join(t, same[0] & same[1] & same[2] & F.col("a.own").eqNullSafe(F.col("t.own")))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("a.id").alias("doc_id"), real("t.class_id").alias("class_id"), F.col("t.n_links").alias("n_links"), F.col("a.n").alias("n_shingles"), (F.col("a.id") == F.col("t.class_id")).alias("kept"))
+    links = linked.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "node")
+    told = cut(grouped.join(links, "node", "left").join(final, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # the first document of each class of classes, by id and then by text
+    least = told.groupBy("root").agg(F.min(F.struct("id", "t")).alias("least"))
+    n_links = F.coalesce("links", F.lit(0)) + F.when(F.col("n") > 0, F.col("copies") - 1).otherwise(0)
+    told = cut(told.join(least, "root").select("node", "least", n_links.alias("n_links")))
+    kept = (F.col("n") == 0) | ((F.col("id") == F.col("least.id")) & (F.col("t") == F.col("least.t")))
+    return keyed.select("id", "t", "n", "node").join(told, "node").select("id", "t", "n", F.col("least.id").alias("class_id"), "n_links", kept.alias("kept"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links, n_shingles, kept) of every row: the smallest
+    doc_id that links lead to, other documents linked directly (copies too),
+    and whether the row stays if one document of each class does. Rows that
+    share both doc_id and text are told the same."""
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c if c != "id" else "doc_id")
+    return judged(docs, threshold).select(real("id"), real("class_id"), "n_links", F.col("n").alias("n_shingles"), "kept")
 
 
 def without_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, one of each class."""
-    found = cut(jaccard_join(docs, threshold).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "kept"))
-    gone = found.filter("not kept").select("_id").distinct()
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    rest = docs.join(gone, key == F.col("_id"), "left_anti")
-    kept = found.filter("kept")
-    single = kept.groupBy("_id").count().filter("count > 1").isEmpty()
-    return rest if single else rest.dropDuplicates(["doc_id"])
+    """The rows of ``docs``, all columns, one of each class; those without words all stay."""
+    found = cut(judged(docs, threshold).select(F.col("id").alias("_id"), F.col("t").alias("_t"), "n", "kept"))
+
+    def small(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_t", F.xxhash64("text"))
+    gone = found.filter("not kept").select("_id", "_t").distinct()
+    rest = keyed.join(small(gone), ["_id", "_t"], "left_anti")
+    repeated = cut(found.filter("kept and n > 0").groupBy("_id", "_t").count().filter("count > 1").select("_id", "_t"))
+    if not repeated.isEmpty():
+        repeated = small(repeated)
+        once = rest.join(repeated, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"])
+        rest = rest.join(repeated, ["_id", "_t"], "left_anti").unionByName(once)
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

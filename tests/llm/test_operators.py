@@ -98,6 +98,33 @@ def test_neardup(docs, texts):
     assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == [i for i in range(len(texts)) if find(i) == i]
 
 
+def test_neardup_of_null_and_repeated_ids(spark):
+    r = random.Random(9)
+    fresh = lambda: [r.choice("abcdefgh") * 3 + str(r.randrange(500)) for _ in range(80)]
+    a, b, c, d, e, f, g = (fresh() for _ in range(7))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(5, a), (None, near(a)), (None, b), (6, near(b)), (None, c), (7, d), (7, e), (3, near(d)), (8, e), (9, f), (9, f), (None, g), (None, near(g)), (None, ""), (None, " "), (4, ""), (4, "")]
+    rows = [(i, w if isinstance(w, str) else " ".join(w)) for i, w in rows]
+    sets = [{tuple(words(t)[k : k + 5]) for k in range(max(1, len(words(t)) - 4))} if words(t) else set() for _, t in rows]
+    linked = [[j for j in range(len(rows)) if j != i and x and len(x & sets[j]) >= 0.8 * len(x | sets[j])] for i, x in enumerate(sets)]
+    low = lambda i: -1 if i is None else i
+    want = []
+    for i, (doc, _) in enumerate(rows):
+        reach, todo = {i}, [i]
+        while todo:
+            new = [j for j in linked[todo.pop()] if j not in reach]
+            reach.update(new)
+            todo += new
+        want.append((low(doc), low(min((rows[j][0] for j in reach), key=low)), len(linked[i]), len(sets[i]), frozenset(reach)))
+    docs = spark.createDataFrame([(*row, k) for k, row in enumerate(rows)], "doc_id bigint, text string, place int")
+    got = neardup.jaccard_join(docs).collect()
+    assert sorted((low(x.doc_id), low(x.class_id), x.n_links, x.n_shingles) for x in got) == sorted(x[:4] for x in want)
+    stay = [x.place for x in neardup.without_copies(docs).collect()]
+    for reach in {x[4] for x in want}:  # one of each class, and one of the smallest id
+        kept = [k for k in stay if k in reach]
+        assert len(kept) == 1 and low(rows[kept[0]][0]) == min(low(rows[j][0]) for j in reach)
+
+
 def test_posterior_steps():
     least = neardup.least_matches()
     assert least == sorted(least) and least[-1] > 64 and least[0] < 5
