@@ -38,7 +38,6 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0,
     "signingkey": 1.0, "encryptionkey": 1.0, "credential": 0.9, "token": 0.9, "bearer": 0.8, "auth": 0.6, "salt": 0.5, "session": 0.4, "cookie": 0.4,
 }
-_STEMS = ("passw", "passphrase", "pwd", "secret", "key", "credential", "token", "bearer", "auth", "salt", "session", "cookie")
 #: Values that stand for a secret without being one.
 PLACEHOLDER = re.compile(r"(?i)example|change.?me|placeholder|your[_-]|dummy|sample|xxxx|\*\*\*\*|<|\$\{|^none$|^null$|^true$|^false$")
 LIMIT = 0.62
@@ -97,8 +96,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
 
 
 def literal_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    low = text.lower()
-    if ("=" not in text and ":" not in text) or not any(s in low for s in _STEMS):
+    if "=" not in text and ":" not in text:  # no pair without one of them
         return []
     best: dict[tuple[int, int], float] = {}
     for name, parts in pairs(text):

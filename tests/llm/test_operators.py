@@ -269,6 +269,13 @@ def test_secrets(docs):
     assert len(masked) == docs.count()
 
 
+@pytest.mark.parametrize("name", ["PASS_PHRASE", "pass-phrase", "pass_word", "p.w.d", "cre_dential"])
+def test_secrets_under_split_names(name):
+    text = f'{name} = "Zx81kQ9Lm2pR7w"\n'
+    at = text.index("Zx")
+    assert secrets.join(secrets.scan(text)[1]) == f"literal:{at}:{at + 14}"
+
+
 def test_language_id(spark):
     r = random.Random(3)
     parts = {"en": ["the", "ing", "th", "er"], "de": ["sch", "ung", "ich", "ß"], "fr": ["eau", "é", "oi", "que"]}
