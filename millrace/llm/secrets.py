@@ -2,8 +2,10 @@
 
 The fixed patterns give the spans ``assign``, ``access`` and ``hex``. Lexing
 reads source and configuration syntax as name-literal pairs (``NAME = "x"``,
-``"name": "x"``, ``name => 'x'``, ``export NAME=x``), resolves names and ``+``
-through earlier constants of the same text, and scores each literal by how
+``"name": "x"``, ``name => 'x'``, ``export NAME=x``) and as typed declarations
+(``name: T = "x"``, ``name T = "x"``; the type stands on one line and holds no
+``=``), resolves names and ``+``, over line breaks too, through earlier constants
+of the same text, and scores each literal by how
 sensitive the names are that it ends up under and by how random it looks. A
 literal over the limit is a span ``literal``, where it is written, unless it
 lies within a base span.
@@ -45,7 +47,14 @@ SHORTEST = 8
 
 _QUOTED = r'''"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`'''
 _TERM = rf"(?:{_QUOTED}|[A-Za-z0-9_][A-Za-z0-9_.+/=-]*)"
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.-]*)["'`]?\]?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*({_TERM}(?:[ \t]*\+[ \t]*{_TERM})*)""")
+_GAP = r"(?:[ \t]|\\?\r?\n)*+"
+# a term on another line is not the name of a next pair
+_NEXT = rf"""(?>{_TERM})(?![ \t]*["'`]?\]?[ \t]*[?!]?[ \t]*[:=])"""
+_VALUE = rf"{_TERM}(?:[ \t]*\+[ \t]*{_TERM}|{_GAP}\+{_GAP}{_NEXT})*"
+_PAIR = re.compile(rf"""(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.-]*)["'`]?\]?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*({_VALUE})""")
+_SET = re.compile(rf"(?<![=!<>:])=(?![=>])[ \t]*({_VALUE})")
+_IN_NAME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
+_GO = re.compile(r"(?:^|[(;{]|\b(?:var|const)[ \t])[ \t]*([A-Za-z_][A-Za-z0-9_]*+)[ \t]+(?:\*|\[\d*\])*+[A-Za-z_][A-Za-z0-9_.]*+[ \t]*\Z")
 _ONE = re.compile(rf"({_QUOTED})|([A-Za-z0-9_][A-Za-z0-9_./=-]*)")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
@@ -76,18 +85,53 @@ def literal_score(value: str) -> float:
     return 0.5 * min(1.0, entropy / 3.5) + 0.2 * min(1.0, len(value) / 20) + 0.3 * min(1.0, (kinds - 1) / 2)
 
 
+def declared_name(before: str) -> str | None:
+    """The name of a typed declaration; ``before`` is what its line holds up to the ``=``."""
+    depth, at = 0, len(before) - 1
+    while at >= 0:
+        c = before[at]
+        if c in "]>)" and before[at - 1 : at + 1] != "->":
+            depth += 1
+        elif c in "[<(":
+            depth -= 1
+        if depth < 0 or not depth and c in ",;{}":
+            break
+        if not depth and c == ":":
+            if before[at - 1 : at] != ":":
+                head = before[:at].rstrip(" \t").rstrip("?!").removesuffix("]")
+                head = head[:-1] if head.endswith(("'", '"', "`")) else head
+                name = head[len(head.rstrip(_IN_NAME)) :].lstrip("0123456789.-")
+                return name if name and before[at + 1 :].strip() else None
+            at -= 1
+        at -= 1
+    m = _GO.search(before)
+    return m[1] if m else None
+
+
+def declared(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of each value that a typed declaration sets."""
+    last = 0
+    for m in _SET.finditer(text):
+        # from the line's start, or from the = before it
+        start = max(text.rfind("\n", last, m.start()) + 1, text.rfind("=", last, m.start()), last)
+        last = m.start()
+        if name := declared_name(text[start : m.start()]):
+            yield m.start(1), m.end(1), name
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """(name, [(literal, start, end), ...]) with constants put in for names."""
     known: dict[str, list[tuple[str, int, int]]] = {}
-    for m in _PAIR.finditer(text):
-        name, value = m[1], []
-        first = True
-        for one in _ONE.finditer(text, m.start(2), m.end(2)):
+    for start, end, name in sorted([*((m.start(2), m.end(2), m[1]) for m in _PAIR.finditer(text)), *declared(text)]):
+        value, first = [], True
+        line, *more = text[start:end].split("\n", 1)
+        added = "+" in line or any(q in text[start:end] for q in "\"'`") and bool(more)
+        for one in _ONE.finditer(text, start, end):
             if one[1]:
                 value.append((one[1][1:-1], one.start() + 1, one.end() - 1))
             elif one[2] in known:
                 value += known[one[2]]
-            elif first and not (_NAME.match(one[2]) and "+" in m[2]):
+            elif first and not (_NAME.match(one[2]) and added):
                 value.append((one[2], one.start(), one.end()))  # a bare value, as in ini files
             first = False
         if value:

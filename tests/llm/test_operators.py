@@ -276,6 +276,38 @@ def test_secrets_under_split_names(name):
     assert secrets.join(secrets.scan(text)[1]) == f"literal:{at}:{at + 14}"
 
 
+TYPED = [
+    'api_token: str = "@"',
+    'api_token: str | None = "@"',
+    'def call(n: int, api_token: Optional[dict[str, str]]="@"):',
+    'const apiToken: string = "@";',
+    "private apiToken?: Record<string, Array<string>> = '@';",
+    'let api_token: &str = "@";',
+    "const API_TOKEN: &'static str = \"@\";",
+    'static SECRETS: std::borrow::Cow<str> = "@";',
+    'var apiToken string = "@"',
+    'const (\n\tapiToken auth.Secret = "@"\n)',
+    'api_token = (PREFIX) \napi_token = "@"\n    + "@"',
+    'api_token: str = "@" + \\\n  "@"',
+    'const apiToken: string =  "@" +\n\n  "@";',
+    'a = "b"; const apiToken: string = "@"',
+]
+
+
+@pytest.mark.parametrize("text", TYPED)
+def test_secrets_of_typed_declarations(text):
+    text = text.replace("@", "Zx81kQ9Lm2pR7w")
+    spans = secrets.scan(text)[1]
+    assert all(any(s <= m.start() and m.end() <= e for s, _, e in spans) for m in re.finditer("Zx81kQ9Lm2pR7w", text))
+
+
+@pytest.mark.parametrize("text", ['+token = "abc"\n+secret = "@"', "+TOKEN=@\n+some text", "password: @\n+ note", '+ "a": "b"\n+ "secret": "@"'])
+def test_secrets_beside_plus_of_a_next_line(text):
+    text = text.replace("@", "Zx81kQ9Lm2pR7w")
+    at = text.index("Zx81kQ9Lm2pR7w")
+    assert any(s <= at and at + 14 <= e for s, _, e in secrets.scan(text)[1])
+
+
 def test_language_id(spark):
     r = random.Random(3)
     parts = {"en": ["the", "ing", "th", "er"], "de": ["sch", "ung", "ich", "ß"], "fr": ["eau", "é", "oi", "que"]}
