@@ -135,8 +135,9 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
                 value.append((one[2], one.start(), one.end()))  # a bare value, as in ini files
             first = False
         if value:
-            known[name] = value[:64]
-            yield name, known[name]
+            # each place once, if many, so that names put into each other don't multiply
+            known[name] = value if len(value) <= 64 else list(dict.fromkeys(value))
+            yield name, value
 
 
 def literal_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -308,6 +308,17 @@ def test_secrets_beside_plus_of_a_next_line(text):
     assert any(s <= at and at + 14 <= e for s, _, e in secrets.scan(text)[1])
 
 
+def test_secrets_of_many_parts():
+    part = "Zx81kQ9Lm2pR7w"
+    direct = "signing = " + " + ".join(f'"{part}"' for _ in range(100))
+    lines = [f'a{i} = {f"a{i - 1} + " if i else ""}"{part}"' for i in range(100)]
+    for text in (direct, "\n".join([*lines, "api_secret = a99"]), direct + "\nsecret = signing + signing"):
+        text = text.replace("signing", "signing_key") if text == direct else text
+        assert len(secrets.scan(text)[1]) == 100
+    doubled = "\n".join([f'b0 = "{part}"', *[f"b{i} = b{i - 1} + b{i - 1}" for i in range(1, 200)], "secret = b199"])
+    assert len(secrets.scan(doubled)[1]) == 1
+
+
 def test_language_id(spark):
     r = random.Random(3)
     parts = {"en": ["the", "ing", "th", "er"], "de": ["sch", "ung", "ich", "ß"], "fr": ["eau", "é", "oi", "que"]}
