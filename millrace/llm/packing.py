@@ -6,8 +6,9 @@ lot is packed by best-fit decreasing. Dual feasible functions give a lower
 bound on the sequences a lot needs: where it is met, the lot is certified.
 Lots with a gap give up the pieces of their unfilled sequences, and every lot
 those of its emptiest, whose room only other lots' pieces can fill; these are
-dealt into new, fewer lots and packed again, until nothing is open or one lot
-holds all that is.
+dealt into new lots and packed again, until nothing is open, one lot holds all
+that is, or a round lowers neither the open pieces nor their sequences. What a
+lot may then still be from the fewest sequences stands in ``gap``.
 
 Nulls: a null text is an empty one, a single end mark. A null doc_id is a
 document. Repeated rows are packed each. An empty table gives an empty result.
@@ -23,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,6 @@ from .hashing import slices
 CAPACITY = 2048
 #: Pieces of one lot.
 LOT = 8000
-ROUNDS = 4
 #: Words that a worker remembers the ids of.
 KNOWN_WORDS = 300_000
 
@@ -187,26 +188,28 @@ def _pack_lot(lot: pd.DataFrame) -> pd.DataFrame:
     return lot.assign(bin=bins, offset=offset, open=(filled[bins] < CAPACITY) & ((gap > 0) | (bins == filled.argmin())), gap=gap)
 
 
-def pack(pieces: DataFrame, lot_rows: int = LOT, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, lot_rows: int = LOT, rounds: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to what ``tokenize`` returns; ``gap`` says how
-    far a piece's lot may be from the fewest sequences."""
+    far a piece's lot may be from the fewest sequences. ``rounds`` is a bound for
+    those who want one."""
     rest = cut(pieces)
-    n, done = rest.count(), []
-    for turn in range(rounds):
+    n, sequences, before, done = rest.count(), None, None, []
+    for turn in count():
         lots = max(1, -(-n // lot_rows))
         key = F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(lots)).alias("lot")
         dealt = rest.select("*", key).groupBy("lot").applyInPandas(_pack_lot, f"{_ROW}, lot bigint, bin bigint, offset bigint, open boolean, gap bigint")
-        packed = cut(dealt)
-        number = F.lit(turn).cast("long") * (1 << 58) + F.col("lot") * (1 << 20) + F.col("bin")
-        last = lots == 1 or turn == rounds - 1
-        closed = packed if last else packed.filter("not open")
-        done.append(closed.withColumn("sequence_id", number))
-        if last:
+        number = F.lit(turn).cast("long") * (1 << 48) + F.col("lot") * (1 << 20) + F.col("bin")
+        packed = cut(dealt.withColumn("sequence_id", number))
+        still = packed.filter("open")
+        left, now = still.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
+        if left == n and before is not None and now >= sequences:
+            done.append(before)  # nothing was won: those pieces stay as they were
             break
-        rest = packed.filter("open").select("doc_id", "piece", "start", "length", "ids_crc32")
-        n = rest.count()
-        if not n:
+        if not left or lots == 1 or turn + 1 == rounds:
+            done.append(packed)
             break
+        done.append(packed.filter("not open"))
+        rest, before, n, sequences = still.select("doc_id", "piece", "start", "length", "ids_crc32"), still, left, now
     return reduce(DataFrame.unionByName, done).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap")
 
 

@@ -202,6 +202,18 @@ def test_packing(docs, texts):
     assert got["sequence_id"].nunique() <= packing.lower_bound(got["length"].to_numpy()) + 1
 
 
+def test_packing_goes_on_while_it_gains(spark):
+    r = random.Random(3)
+    rows = [(i, 0, 0, r.choice([520, 600, 690, 760, 900, 1030]), i) for i in range(240)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, piece bigint, start bigint, length bigint, ids_crc32 bigint")
+    n = []
+    for bound in ({"rounds": 4}, {}):
+        got = packing.pack(pieces, lot_rows=6, **bound).toPandas()
+        assert sorted(got["doc_id"]) == list(range(240)) and got.groupby("sequence_id")["length"].sum().max() <= packing.CAPACITY
+        n.append(got["sequence_id"].nunique())
+    assert got["sequence_id"].max() >= 4 << 48 and n[1] < n[0]
+
+
 def test_bound_is_a_bound():
     r = random.Random(1)
     for _ in range(200):
