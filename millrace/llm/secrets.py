@@ -122,7 +122,7 @@ def declared(text: str) -> Iterator[tuple[int, int, str]]:
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """(name, [(literal, start, end), ...]) with constants put in for names."""
     known: dict[str, list[tuple[str, int, int]]] = {}
-    for start, end, name in sorted([*((m.start(2), m.end(2), m[1]) for m in _PAIR.finditer(text)), *declared(text)]):
+    for start, end, name, typed in sorted([*((m.start(2), m.end(2), m[1], False) for m in _PAIR.finditer(text)), *((*d, True) for d in declared(text))]):
         value, first = [], True
         line, *more = text[start:end].split("\n", 1)
         added = "+" in line or any(q in text[start:end] for q in "\"'`") and bool(more)
@@ -131,7 +131,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
                 value.append((one[1][1:-1], one.start() + 1, one.end() - 1))
             elif one[2] in known:
                 value += known[one[2]]
-            elif first and not (_NAME.match(one[2]) and added):
+            elif first and not typed and not (_NAME.match(one[2]) and added):
                 value.append((one[2], one.start(), one.end()))  # a bare value, as in ini files
             first = False
         if value:
