@@ -6,7 +6,7 @@ import sys
 from collections.abc import Callable
 
 from . import __version__
-from .plans.config import EXIT_OK, EXIT_USAGE, Config, Projection
+from .plans.config import EXIT_FAILED, EXIT_OK, EXIT_USAGE, Config, Projection
 from .plans.schema_json import parse_schema_json, write_schema_json
 
 HELP = """JSON lines to Parquet or a binary dump.
@@ -118,10 +118,14 @@ def main(argv: list[str] | None = None) -> int:
     from .operators.convert import convert, infer_schema
 
     spark = SparkSession.builder.appName("millrace").getOrCreate()
-    if cfg.print_schema:
-        print(write_schema_json(infer_schema(spark, cfg)))
-        return EXIT_OK
-    stats = convert(spark, cfg)
+    try:
+        if cfg.print_schema:
+            print(write_schema_json(infer_schema(spark, cfg)))
+            return EXIT_OK
+        stats = convert(spark, cfg)
+    except Exception as e:  # whatever stops a run is one line and one exit code
+        print(f"error: {(str(e).strip() or type(e).__name__).splitlines()[0]}", file=sys.stderr)
+        return EXIT_FAILED
     if cfg.emit_stats:
         print(stats.line(), file=sys.stderr)
     if stats.reason:

@@ -60,6 +60,18 @@ def has_repeats(value) -> bool:
     return isinstance(value, list) and any(has_repeats(v) for v in value)
 
 
+def merged(obj: Pairs, depth: int = 1, prefix: str = "", out: dict | None = None) -> dict:
+    """Values by dotted path, as ``walk`` finds them; the first of each path stays."""
+    out = {} if out is None else out
+    for key, v in obj:
+        path = f"{prefix}.{key}" if prefix else key
+        if isinstance(v, Pairs) and depth < FLATTEN_DEPTH:
+            merged(v, depth + 1, path, out)
+        elif path not in out:
+            out[path] = first_wins(v)
+    return out
+
+
 def compact(value) -> str:
     return json.dumps(first_wins(value), separators=(",", ":"), ensure_ascii=False)
 

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the folder all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        set_dir = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(set_dir)
-    return df.checkpoint()
+from .shared import cut
 
 
 def with_position(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -29,7 +20,3 @@ def with_position(df: DataFrame, order: list[str], name: str) -> DataFrame:
     offsets = parts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     out = sorted_rows.join(F.broadcast(offsets), "_part")
     return out.withColumn(name, F.col("_before") + F.col("_seq") - F.col("_first")).drop("_part", "_seq", "_n", "_first", "_before")
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

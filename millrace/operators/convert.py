@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import time
+import warnings
 from contextlib import contextmanager
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsonwalk import MISFIT
-from ..plans.config import Config, ConversionError, ConvertStats, InferredSchema, NestedMode, OnError, OutputFormat, ParseError, PipelineState, TypeConflict
+from ..functions.shared import stored
+from ..plans.config import Config, ConversionError, ConvertStats, InferredSchema, LogicalType, NestedMode, OnError, ParseError, PipelineState, Projection, TypeConflict
+from ..plans.schema import resolve_types
 from ..sources.lines import expand, file_bytes, first_file_lines, first_lines, read_lines, with_line_numbers
 from ..sources.sinks import write
-from .extract import extract
+from .extract import WORD, extract, misfit_kinds
 from .infer import finish, infer_all, infer_lines
-from .nested import extract_nested, infer_tree
+from .nested import extract_nested, infer_tree, infer_tree_all
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,7 +26,8 @@ SETTINGS = {
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
-_EXTRA = ("__src", "__block", "__seq", "__line", "_reason", "_misfit")
+_EXTRA = ("__src", "__block", "__seq", "__line", "_reason", "_misfit", "_repeats")
+_PLACE = ("__src", "__block", "__seq")
 
 
 @contextmanager
@@ -43,7 +47,7 @@ def _source(spark: SparkSession, cfg: Config, lines: DataFrame | None) -> tuple[
     """Lines, the sample, and the files behind them."""
     if lines is not None:
         return lines, first_lines(lines, cfg.sample_lines), []
-    files = expand(cfg.inputs)
+    files = expand(spark, cfg.inputs)
     df = read_lines(spark, files, cfg.max_line_bytes, cfg.missing_ok)
     return df, first_file_lines(spark, files, cfg.sample_lines, cfg.max_line_bytes), files
 
@@ -52,15 +56,6 @@ def _schema(lines: DataFrame, sample: list[str], cfg: Config) -> InferredSchema:
     return finish(infer_all(lines, cfg) if cfg.infer_scope == "full" else infer_lines(sample, cfg), cfg)
 
 
-def _widened(lines: DataFrame, schema: InferredSchema, cfg: Config) -> InferredSchema:
-    """The columns of ``schema`` typed over every line."""
-    full = infer_all(lines, cfg)
-    kinds = {c.json_path: c.type for c in full.columns}
-    pinned = {c.name for c in cfg.schema_override}
-    columns = tuple(c if c.name in pinned else replace(c, type=kinds.get(c.json_path, c.type)) for c in schema.columns)
-    return replace(schema, columns=columns, seen=full.seen, duplicate_keys=full.duplicate_keys)
-
-
 def infer_schema(spark: SparkSession, cfg: Config, lines: DataFrame | None = None) -> InferredSchema:
     with settings(spark):
         df, sample, _ = _source(spark, cfg, lines)
@@ -70,62 +65,107 @@ def infer_schema(spark: SparkSession, cfg: Config, lines: DataFrame | None = Non
 def _rows(spark: SparkSession, cfg: Config, lines: DataFrame | None) -> tuple[DataFrame, DataFrame, InferredSchema | None, list[str]]:
     df, sample, files = _source(spark, cfg, lines)
     if cfg.nested is NestedMode.NATIVE:
-        return df, extract_nested(df, infer_tree(sample)), None, files
+        if cfg.schema_override or cfg.projection != Projection() or cfg.type_conflict is not TypeConflict.WIDEN or cfg.threads > 1:
+            warnings.warn("native nesting ignores schema, select, exclude, rename, type conflict and threads", stacklevel=3)
+        tree = infer_tree_all(df) if cfg.infer_scope == "full" else infer_tree(sample)
+        return df, extract_nested(df, tree), None, files
     schema = _schema(df, sample, cfg)
     return df, extract(df, schema, cfg.raw_json), schema, files
 
 
-def _can_widen(cfg: Config) -> bool:
-    return cfg.infer_scope == "auto" and cfg.type_conflict is not TypeConflict.ERROR and not cfg.frozen_schema
-
-
 def _split(rows: DataFrame, cfg: Config) -> DataFrame:
     """``_reason`` also covers misfits where they make a line bad."""
     if not cfg.frozen_schema:
         return rows
-    return rows.withColumn("_reason", F.coalesce("_reason", F.when(F.size("_misfit") > 0, MISFIT)))
+    return rows.withColumn("_reason", F.coalesce("_reason", F.when(F.col("_misfit").isNotNull(), MISFIT)))
+
+
+def _measures(schema: InferredSchema | None, cfg: Config) -> list[Column]:
+    """What one pass counts; aggregates of fixed size."""
+    bad = F.col("_reason").isNotNull()
+    words = range(0 if cfg.frozen_schema or schema is None else -(-len(schema.columns) // WORD))
+    first = [F.min(F.when(bad, F.struct(*_PLACE, "_reason"))).alias("first")] if cfg.on_error is OnError.ABORT else []
+    return [
+        F.count(F.lit(1)).alias("all"), F.count_if(bad).alias("bad"), F.max("_repeats").alias("repeats"),
+        *[F.bit_or(F.get("_misfit", F.lit(i))).alias(f"w{i}") for i in words], *first,
+    ]
+
+
+def _revised(schema: InferredSchema | None, seen: dict, cfg: Config) -> InferredSchema | None:
+    """The schema that a pass calls for, or None if it holds. A value that does
+    not fit and can't widen its column raises."""
+    if schema is None:
+        return None
+    if seen["repeats"] and not schema.duplicate_keys:
+        return replace(schema, duplicate_keys=True)
+    found = misfit_kinds([v for k, v in seen.items() if k[0] == "w"], schema)
+    if not found:
+        return None
+    pinned = {c.name for c in cfg.schema_override}
+    columns, known = list(schema.columns), dict(schema.seen)
+    for i, kinds in found.items():
+        c = columns[i]
+        if cfg.infer_scope == "sample" or cfg.type_conflict is TypeConflict.ERROR or c.name in pinned:
+            raise ConversionError(f"a value does not fit column {c.name}")
+        known[c.json_path] = known.get(c.json_path, {c.type}) | kinds | {c.type}
+        wider = resolve_types(known[c.json_path], cfg.type_conflict)
+        # a column never narrows, so this ends
+        columns[i] = replace(c, type=wider if c.type is not LogicalType.STRING else c.type)
+    return replace(schema, columns=tuple(columns), seen=known)
+
 
+def _names(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in _EXTRA]
 
-def _first_misfit(rows: DataFrame) -> str | None:
-    """Name of a column that some line's value does not fit. An aggregate, not a
-    filter: the optimizer would copy every column's reading into a filter."""
-    unfit = F.when(F.col("_reason").isNull() & (F.size("_misfit") > 0), F.element_at("_misfit", 1))
-    return rows.agg(F.max(unfit)).first()[0]
+
+def _only(rows: DataFrame, keep: Column, names: list[str]) -> DataFrame:
+    """Some rows' columns. A generator, not a filter: the optimizer would read
+    every line a second time in a filter below."""
+    if not names:
+        return rows.filter(keep).select()
+    return rows.select(F.inline(F.when(keep, F.array(F.struct(*[F.col(f"`{c}`") for c in names])))))
 
 
 def to_dataframe(spark: SparkSession, cfg: Config, lines: DataFrame | None = None) -> DataFrame:
-    """The typed rows, lazily. Bad lines are left out, or raise under ``abort``.
+    """The typed rows. Bad lines are left out, or raise under ``abort``.
 
-    Without a frozen or fully inferred schema, one scan looks for values that
-    the types don't fit: they widen their column, or raise where that is off."""
+    The types must be settled before there is a DataFrame: unless they were
+    inferred over every line, one scan looks for values that don't fit and for
+    repeated keys. Rows are computed when they are asked for."""
     with settings(spark):
         df, rows, schema, _ = _rows(spark, cfg, lines)
-        sure = schema is None or cfg.frozen_schema or cfg.infer_scope == "full" and not cfg.schema_override
-        if not sure and (name := _first_misfit(rows)):
-            if not _can_widen(cfg):
-                raise ConversionError(f"a value does not fit column {name}")
-            schema = _widened(df, schema, cfg)
+        sure = schema is None or cfg.infer_scope == "full" and not cfg.schema_override
+        while not sure:
+            seen = _split(rows, cfg).agg(*_measures(schema, cfg)).first().asDict()
+            if (new := _revised(schema, seen, cfg)) is None:
+                break
+            schema = new
             rows = extract(df, schema, cfg.raw_json)
-            if cfg.schema_override and (name := _first_misfit(rows)):
-                raise ConversionError(f"a value does not fit column {name}")
         rows = _split(rows, cfg)
-        names = [f"`{c}`" for c in rows.columns if c not in _EXTRA]
+        keep = F.col("_reason").isNull()
         if cfg.on_error is OnError.ABORT:
-            rows = rows.filter(F.when(F.col("_reason").isNotNull(), F.raise_error(F.col("_reason"))).isNull())
-        return rows.filter("_reason is null").select(*names)
+            keep = F.when(keep, True).otherwise(F.raise_error(F.col("_reason")).cast("boolean"))
+        return _only(rows, keep, _names(rows))
 
 
 def collect_errors(spark: SparkSession, cfg: Config, lines: DataFrame | None = None) -> DataFrame:
     """Bad lines as ``(line_no bigint, reason string, raw string)``."""
     with settings(spark):
         df, rows, _, _ = _rows(spark, cfg, lines)
-        bad = _split(rows, cfg).filter("_reason is not null").select("__src", "__block", "__seq", F.col("_reason").alias("reason"), F.col("__line").alias("raw"))
-        return with_line_numbers(df, bad).select("line_no", "reason", "raw")
+        return _errors(_split(rows, cfg), lines is None)
+
+
+def _errors(rows: DataFrame, from_files: bool) -> DataFrame:
+    """Places of all lines and the text of bad ones come from one pass: another
+    could cut files elsewhere."""
+    bad = F.col("_reason").isNotNull()
+    return with_line_numbers(stored(rows.select(*_PLACE, F.col("_reason").alias("reason"), F.when(bad, F.col("__line")).alias("raw"))), from_files)
 
 
 def convert(spark: SparkSession, cfg: Config, lines: DataFrame | None = None) -> ConvertStats:
-    """Writes the output and reports. One pass over the data besides inference:
-    counts are observed while writing; the output appears only if the run holds."""
+    """Writes the output and reports. One pass over the data besides the sample:
+    counts are observed while writing, and the output appears only if the run
+    holds; another pass follows if types must widen."""
     began = time.time()
 
     def stats(state: PipelineState, reason: str = "", **more) -> ConvertStats:
@@ -134,45 +174,32 @@ def convert(spark: SparkSession, cfg: Config, lines: DataFrame | None = None) ->
     with settings(spark):
         df, rows, schema, files = _rows(spark, cfg, lines)
         bytes_in = file_bytes(spark, files) if files else 0
-        if cfg.on_error is OnError.ABORT and not _split(rows, cfg).filter("_reason is not null").isEmpty():
-            first = _split(rows, cfg).filter("_reason is not null").first()
-            return stats(PipelineState.ABORTED, first["_reason"], bytes_in=bytes_in)
         while True:
             out = _split(rows, cfg)
-            bad, misfit = F.col("_reason").isNotNull(), F.col("_reason").isNull() & (F.size("_misfit") > 0)
-            names = [f"`{c}`" for c in out.columns if c not in _EXTRA]
-            wanted = [F.count_if(bad).alias("bad"), F.count_if(misfit).alias("misfit"), F.count(F.lit(1)).alias("all")]
-            # Parquet output is counted as it is written; the dump streams through the driver and is counted first
-            if names and cfg.output_format is OutputFormat.PARQUET:
-                seen = Observation()
-                observed, count = out.observe(seen, *wanted), lambda seen=seen: seen.get
-            else:
-                seen = out.agg(*wanted).first().asDict()
-                observed, count = out, lambda seen=seen: seen
-            fatal: list[int] = []
-
-            def holds(count=count, fatal=fatal) -> bool:
-                fatal.append(0 if cfg.frozen_schema else count()["misfit"])
-                return not fatal[0]
+            names = _names(out)
+            watch = Observation()
+            held: dict = {}
 
+            def holds(watch=watch, out=out, schema=schema, names=names, held=held) -> bool:
+                held.update(watch.get if names else out.agg(*_measures(schema, cfg)).first().asDict())
+                held["next"] = _revised(schema, held, cfg)
+                return held["next"] is None and not (cfg.on_error is OnError.ABORT and held["bad"])
+
+            good = out.observe(watch, *_measures(schema, cfg)).filter("_reason is null") if names else out
             try:
-                bytes_out = write(observed.filter("_reason is null").select(*names), cfg, schema, holds)
+                bytes_out = write(good.select(*_PLACE, *[f"`{c}`" for c in names]), names, cfg, schema, holds)
             except ConversionError as e:
-                if fatal and fatal[0] and _can_widen(cfg) and schema is not None:
-                    schema = _widened(df, schema, cfg)
-                    if not _same(rows, again := extract(df, schema, cfg.raw_json)):
-                        rows = again
-                        continue
                 return stats(PipelineState.ABORTED, str(e), bytes_in=bytes_in)
-            counts = count()
+            if held["next"] is not None:
+                schema = held["next"]
+                rows = extract(df, schema, cfg.raw_json)
+                continue
             break
+        if bytes_out is None:
+            return stats(PipelineState.ABORTED, held["first"]["_reason"], bytes_in=bytes_in)
         errors: tuple[ParseError, ...] = ()
-        if cfg.on_error is OnError.COLLECT and counts["bad"]:
-            picked = out.filter(bad).select("__src", "__block", "__seq", F.col("_reason").alias("reason"), F.col("__line").alias("raw"))
-            errors = tuple(ParseError(r["line_no"], r["reason"], r["raw"]) for r in with_line_numbers(df, picked).orderBy("line_no").collect())
-        good = counts["all"] - counts["bad"]
-        return stats(PipelineState.DONE, rows_read=good, rows_written=good, rows_skipped=counts["bad"], bytes_in=bytes_in, bytes_out=bytes_out, errors=errors)
-
-
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    return a.dtypes == b.dtypes
+        if cfg.on_error is OnError.COLLECT and held["bad"]:
+            rest = _errors(out, bool(files)).orderBy("line_no").limit(cfg.max_errors).collect()
+            errors = tuple(ParseError(r["line_no"], r["reason"], r["raw"]) for r in rest)
+        n = held["all"] - held["bad"]
+        return stats(PipelineState.DONE, rows_read=n, rows_written=n, rows_skipped=held["bad"], bytes_in=bytes_in, bytes_out=bytes_out, errors=errors)

@@ -7,13 +7,16 @@ into compact JSON in text fields, and reads whole numbers into double fields.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.jsonwalk import BAD_JSON, NOT_OBJECT, BadLine, Pairs, parse_object
+from ..functions.jsonwalk import BadLine, Pairs, parse_object
+from .extract import MARKS, line_reason, whole_object
 
 # kinds: "null", "int", "double", "bool", "string", {"field": kind, ...}, [kind]
 
@@ -72,14 +75,36 @@ def _hollow(t: T.DataType) -> bool:
     return isinstance(t, T.StructType) and not t.fields or isinstance(t, T.ArrayType) and _hollow(t.elementType)
 
 
+def infer_tree_all(lines: DataFrame) -> dict:
+    """The same over every line: a tree for each task, then one. Members are in the
+    order of the tasks' first lines, so nearly that of the input."""
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: dict = {}
+        first = None
+        for b in batches:
+            for src, block, seq, line in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                first = (src, block, seq) if first is None else min(first, (src, block, seq))
+                try:
+                    tree = unify(tree, kind_of(parse_object(line)))
+                except BadLine:
+                    continue
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*first, json.dumps(tree))], ["src", "block", "seq", "tree"])
+
+    found = lines.select(*MARKS).mapInArrow(trees, "src bigint, block string, seq bigint, tree string")
+    tree: dict = {}
+    for row in found.orderBy("src", "block", "seq").toLocalIterator():  # a row a task
+        tree = unify(tree, json.loads(row["tree"]))
+    return tree
+
+
 def extract_nested(lines: DataFrame, tree: dict) -> DataFrame:
-    schema = to_spark(tree)
-    line = F.col("__line")
-    parsed = F.when(line.rlike(r"(?s)^\s*\{.*\}\s*$"), F.try_parse_json(line))
-    ok = parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
-    not_object = F.try_parse_json(line).isNotNull() & ~line.rlike(r"^\s*\{")
-    reason = F.when(~F.coalesce(ok, F.lit(False)), F.when(not_object, NOT_OBJECT).otherwise(BAD_JSON))
-    row = F.from_json(line, schema, {"mode": "PERMISSIVE"}) if schema.fields else None
-    out = lines.select("__src", "__block", "__seq", "__line", reason.alias("_reason"), F.array().cast("array<string>").alias("_misfit"), *([row.alias("_row")] if row is not None else []))
-    fields = [F.col("_row").getField(f.name).alias(f.name) for f in schema.fields]
-    return out.select("__src", "__block", "__seq", "__line", "_reason", "_misfit", *fields)
+    """As ``extract``, with structs and lists; a value of another type is null and
+    no misfit. The line must be one whole object."""
+    schema, line = to_spark(tree), F.col("__line")
+    fields = schema if schema.fields else T.StructType([T.StructField("-", T.StringType())])
+    read = lines.select(*MARKS, whole_object(line, fields).alias("_j"))
+    out = read.select(*MARKS, line_reason(F.col("_j"), line).alias("_reason"), F.lit(None).cast("array<bigint>").alias("_misfit"), F.lit(False).alias("_repeats"), F.col("_j.row").alias("_row"))
+    names = [f.name for f in schema.fields]
+    return out.select(*MARKS, "_reason", "_misfit", "_repeats", *[F.col("_row").getField(n).alias(n) for n in names])

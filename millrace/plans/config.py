@@ -131,7 +131,9 @@ class Config:
     and keeps columns first seen after the sample, which the others drop.
     ``fixed_schema`` makes a value that does not fit its column a bad line (the
     rule of runs with several threads); without it such a value is fatal where
-    widening is off. ``dump_magic`` opens the binary dump.
+    widening is off. ``dump_magic`` opens the binary dump. ``single_file`` writes
+    one file in the order of the input; ``ordered`` keeps a folder's files in it.
+    ``max_errors`` bounds the errors in the statistics; ``collect_errors`` has all.
     """
 
     inputs: tuple[str, ...]
@@ -155,6 +157,8 @@ class Config:
     strict_sample_errors: bool = False
     missing_ok: bool = False
     single_file: bool = False
+    ordered: bool = False
+    max_errors: int = 10_000
     raw_json: str = "compact"
     dump_magic: bytes = b"COLDUMP1"
 

@@ -5,13 +5,13 @@ as what SQL says of the table."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order import with_position
+from ..functions.shared import scratch
 from ..operators.convert import collect_errors, convert, infer_schema, settings, to_dataframe
 from ..operators.infer import finish, infer_lines
 from ..sources.lines import first_lines, lines_from_column
@@ -47,13 +47,6 @@ def _rows(spark: SparkSession, lines: DataFrame, **more) -> DataFrame:
     return _plain(spark, to_dataframe(spark, _cfg(**more), lines))
 
 
-def _scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/queries-{uuid.uuid4().hex}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
-
-
 def query(sql: str):
     def add(f):
         QUERIES[f.__name__] = f
@@ -106,22 +99,39 @@ for _name, (_order, _columns, _wide) in _TRIPS.items():
     _trip(_name, _order, _columns.split(), set(_wide.split()))
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, CAST(label AS BIGINT) AS label FROM embeddings")
+VECTORS = "SELECT vec_id, CAST(generate_subscripts(embedding, 1) AS BIGINT) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"
+
+
+def _doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return _lines(vectors, F.col("vec_id"))
+
+
+def _components(rows: DataFrame, vector: Column) -> DataFrame:
+    return rows.select("vec_id", F.posexplode(vector).alias("place", "x")).select("vec_id", (F.col("place") + 1).cast("bigint").alias("place"), "x")
+
+
+@query(VECTORS)
 def embeddings_array_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, _lines(_table(spark, sf_dir, "embeddings"), F.col("vec_id")))
-    return rows.select("vec_id", F.json_array_length("embedding").cast("bigint").alias("n"), "label")
+    return _components(_rows(spark, _doubles(spark, sf_dir)), F.from_json("embedding", "array<double>"))
 
 
-@query("""SELECT event_id, event_type, value, CAST(props->>'$.k' AS BIGINT) AS props_k, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts FROM events""")
+@query("""SELECT event_id, user_id, event_type, value, CAST(props->>'$.k' AS BIGINT) AS props_k, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts FROM events""")
 def native_events_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, _events(spark, sf_dir), nested="native")
-    return rows.select("event_id", "event_type", "value", F.col("props.k").alias("props_k"), "ts")
+    return rows.select("event_id", "user_id", "event_type", "value", F.col("props.k").alias("props_k"), "ts")
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, CAST(embedding[1] AS DOUBLE) > 0 AS positive FROM embeddings")
+@query(VECTORS)
 def native_embeddings_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, _lines(_table(spark, sf_dir, "embeddings"), F.col("vec_id")), nested="native")
-    return rows.select("vec_id", F.size("embedding").cast("bigint").alias("n"), (F.col("embedding")[0] > 0).alias("positive"))
+    return _components(_rows(spark, _doubles(spark, sf_dir), nested="native"), F.col("embedding"))
+
+
+@query("""SELECT event_id, user_id, event_type, value, CAST(props->>'$.k' AS BIGINT) AS props_k FROM events""")
+def native_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark, 'queries')}/native.parquet"
+    convert(spark, Config(("table",), output_path=path, nested="native"), _events(spark, sf_dir))
+    return spark.read.parquet(path).select("event_id", "user_id", "event_type", "value", F.col("props.k").alias("props_k"))
 
 
 @query("SELECT value, event_id FROM events")
@@ -213,7 +223,7 @@ def ts_sniff_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region UNION ALL SELECT CAST(n_nationkey AS BIGINT), n_name FROM nation")
 def multi_input_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, inputs = _scratch(spark), []
+    folder, inputs = scratch(spark, "queries"), []
     for name, key, codec in (("region", "r", None), ("nation", "n", "gzip")):
         df = _table(spark, sf_dir, name).select(F.to_json(F.struct(F.col(f"{key}_{name}key").alias("k"), F.col(f"{key}_name").alias("name"))))
         writer = df.coalesce(1).write
@@ -224,7 +234,7 @@ def multi_input_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(codec: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"{_scratch(spark)}/events.parquet"
+        path = f"{scratch(spark, 'queries')}/events.parquet"
         convert(spark, Config(("table",), output_path=path, compression=codec), _events(spark, sf_dir))
         return _plain(spark, spark.read.parquet(path))
 
@@ -236,6 +246,75 @@ for _codec in ("zstd", "snappy", "none"):
     _stored(_codec)
 
 
+def _late(name: str, sql: str, other: Callable[[], Column], **more) -> None:
+    """Even rows hold whole numbers, odd ones something else, and the sample ends before any odd one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        i = F.col("event_id")
+        text = F.concat(F.lit('{"id":'), i.cast("string"), F.lit(',"v":'), F.when((i % 2 == 0) | (i < 50), i.cast("string")).otherwise(other()), F.lit("}"))
+        return _rows(spark, _lines(_table(spark, sf_dir, "events").select("event_id"), i, text), sample_lines=40, **more)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql
+
+
+_late("late_widen_double", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 OR event_id < 50 THEN CAST(event_id AS DOUBLE) ELSE event_id + CAST(0.5 AS DOUBLE) END AS v FROM events", lambda: F.concat(F.col("event_id").cast("string"), F.lit(".5")))
+_late("late_widen_string", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 OR event_id < 50 THEN CAST(event_id AS VARCHAR) ELSE 'true' END AS v FROM events", lambda: F.lit("true"))
+_late("late_misfit_rows", "SELECT event_id AS id, event_id AS v FROM events WHERE event_id % 2 = 0 OR event_id < 50", lambda: F.lit("[1]"), threads=2)
+_late("late_repeated_keys", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 OR event_id < 50 THEN event_id ELSE 7 END AS v FROM events", lambda: F.lit('7,"id":0,"v":8'))
+
+
+@query("SELECT event_id AS id, event_id % 3 = 0 AS third, CASE WHEN event_id % 5 <> 0 THEN event_id % 2 = 0 END AS even FROM events")
+def bool_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    df = _table(spark, sf_dir, "events").select(i.alias("id"), (i % 3 == 0).alias("third"), F.when(i % 5 != 0, i % 2 == 0).alias("even"))
+    return _rows(spark, _lines(df, F.col("id")))
+
+
+@query("SELECT 'ABORTED' AS state, 'invalid JSON' AS reason, CAST(4 AS BIGINT) AS exit_code")
+def abort_on_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = convert(spark, Config(("table",), output_path=f"{scratch(spark, 'queries')}/out.parquet", on_error="abort"), _broken(spark, sf_dir))
+    return spark.createDataFrame([(s.final_state.value, s.reason, s.exit_code)], "state string, reason string, exit_code bigint")
+
+
+@query(EVENTS)
+def zstd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a zstd file that Python wrote, read by their suffix."""
+    import zstandard
+
+    folder = scratch(spark, "queries")
+    packed = F.pandas_udf(lambda parts: parts.map(lambda rows: zstandard.ZstdCompressor().compress("\n".join(rows).encode())), "binary")
+    some = _events(spark, sf_dir).groupBy(F.floor(F.col("__seq") / 2500).alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("__seq", "__line"))), lambda r: r["__line"]).alias("rows"))
+    inputs = []
+    for row in some.select("part", packed("rows").alias("raw")).orderBy("part").toLocalIterator():  # 2,500 lines each
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['part']}.jsonl.zst")
+        f = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        f.write(bytearray(row["raw"]))
+        f.close()
+        inputs.append(path.toString())
+    return _plain(spark, to_dataframe(spark, Config(tuple(inputs), print_schema=True)))
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region")
+def glob_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern, and lines of which one is over-long and so cut and bad."""
+    folder = scratch(spark, "queries")
+    df = _table(spark, sf_dir, "region").select(F.to_json(F.struct(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))).alias("value"))
+    long = spark.range(1).select(F.concat(F.lit('{"k":1,"name":"'), F.repeat(F.lit("x"), 200), F.lit('"}')).alias("value"))
+    df.unionByName(long).write.text(f"{folder}/region")
+    return _plain(spark, to_dataframe(spark, Config((f"{folder}/region/part-*",), print_schema=True, max_line_bytes=100)))
+
+
+@query("SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS place FROM events WHERE event_id % 10 <> 0")
+def ordered_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file in the order of the input, whatever the order of the tasks."""
+    path = f"{scratch(spark, 'queries')}/one.parquet"
+    convert(spark, Config(("table",), output_path=path, single_file=True), _broken(spark, sf_dir).repartition(7))
+    rows = spark.read.parquet(path).withColumn("at", F.monotonically_increasing_id())
+    numbered = with_position(rows, ["at"], "place")
+    return numbered.select("event_id", "value", (F.col("place") + 1).alias("place"))
+
+
 @query("""SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'event_id', 'int64'), (1, 'ts', 'timestamp'), (2, 'user_id', 'int64'), (3, 'event_type', 'string'),
  (4, 'value', 'double'), (5, 'props.k', 'int64')) AS t(pos, name, type)""")
 def inferred_schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +324,7 @@ def inferred_schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) FILTER (event_id % 10 <> 0) AS rows_read, count(*) FILTER (event_id % 10 <> 0) AS rows_written, count(*) FILTER (event_id % 10 = 0) AS rows_skipped, 'DONE' AS state FROM events")
 def convert_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = convert(spark, Config(("table",), output_path=f"{_scratch(spark)}/out.parquet"), _broken(spark, sf_dir))
+    s = convert(spark, Config(("table",), output_path=f"{scratch(spark, 'queries')}/out.parquet"), _broken(spark, sf_dir))
     return spark.createDataFrame([(s.rows_read, s.rows_written, s.rows_skipped, s.final_state.value)], "rows_read bigint, rows_written bigint, rows_skipped bigint, state string")
 
 
@@ -258,14 +337,14 @@ def depth_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EVENTS)
 def raw_dump_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_scratch(spark)}/events.dump"
+    path = f"{scratch(spark, 'queries')}/events.dump"
     convert(spark, Config(("table",), output_path=path, output_format="columnar-raw"), _events(spark, sf_dir))
     return _plain(spark, read_dump(spark, path))
 
 
 @query(EVENTS)
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, lines = _scratch(spark), _events(spark, sf_dir)
+    folder, lines = scratch(spark, "queries"), _events(spark, sf_dir)
     schema = finish(infer_lines(first_lines(lines, 1000), _cfg()), _cfg())
     lines.select(F.col("__line").alias("value")).write.text(f"{folder}/in")
     stream_to_parquet(spark, f"{folder}/in", schema, f"{folder}/out", f"{folder}/state").awaitTermination()

@@ -11,36 +11,41 @@ from __future__ import annotations
 import glob
 import os
 import sys
-import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import scratch
 from ..plans.config import MAX_LINE_BYTES
 
 SCHEMA = "__src int, __block string, __seq bigint, __line string"
 
 
 def _clean(value: Column, cap: int) -> Column:
-    """An over-long line is cut (and then hardly parses); the rest of it is dropped."""
-    cut = F.when(F.octet_length(value) > cap, F.left(value, F.lit(cap))).otherwise(value)
-    return F.regexp_replace(cut, "\r$", "")
+    """One trailing carriage return is stripped. An over-long line is cut at
+    ``cap`` bytes (and then hardly parses); the rest of it is dropped."""
+    head = F.make_valid_utf8(F.substring(value.cast("binary"), 1, cap).cast("string"))
+    whole = F.when(F.octet_length(value) > cap, F.regexp_replace(head, "\ufffd$", "")).otherwise(value)
+    return F.when(whole.endswith("\r"), F.left(whole, F.length(whole) - 1)).otherwise(whole)
 
 
-def spool_stdin() -> str:
-    """Standard input, copied to a file that Spark can read more than once."""
-    with tempfile.NamedTemporaryFile(prefix="stdin-", suffix=".jsonl", delete=False) as f:
-        while chunk := sys.stdin.buffer.read(1 << 20):
-            f.write(chunk)
-    return f.name
+def spool_stdin(spark: SparkSession) -> str:
+    """Standard input, copied to the shared folder, where executors can read it
+    more than once; it goes when the session ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "stdin"))
+    f = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    while chunk := sys.stdin.buffer.read(1 << 20):
+        f.write(bytearray(chunk))
+    f.close()
+    return path.toString()
 
 
-def expand(inputs: tuple[str, ...]) -> list[str]:
+def expand(spark: SparkSession, inputs: tuple[str, ...]) -> list[str]:
     """Local globs in name order; ``-`` is spooled; everything else is Spark's to open."""
     out: list[str] = []
     for path in inputs:
         if path == "-":
-            out.append(spool_stdin())
+            out.append(spool_stdin(spark))
         elif "://" not in path and not os.path.exists(path) and (found := sorted(glob.glob(path))):
             out += found
         else:
@@ -72,7 +77,7 @@ def read_lines(spark: SparkSession, inputs: list[str], max_line_bytes: int = MAX
             continue
         # the default separator would also split on a lone carriage return
         raw = spark.read.option("lineSep", "\n").text(path)
-        at = F.concat_ws(":", F.col("_metadata.file_path"), F.format_string("%019d", F.col("_metadata.file_block_start")))
+        at = F.concat_ws(":", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"))
         df = raw.select(F.lit(i).alias("__src"), at.alias("__block"), _clean(F.col("value"), max_line_bytes).alias("__line"))
         parts.append(df.filter("__line <> ''").select("__src", "__block", F.monotonically_increasing_id().alias("__seq"), "__line"))
     if not parts:
@@ -119,9 +124,18 @@ def first_lines(lines: DataFrame, n: int) -> list[str]:
     return [r[0] for r in rows]
 
 
-def with_line_numbers(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (a part of ``lines``) with line_no, counted from 1 over all lines."""
-    from ..functions.order import with_position
-
-    numbered = with_position(lines.select("__src", "__block", "__seq"), ["__src", "__block", "__seq"], "_pos")
-    return rows.join(numbered, ["__src", "__block", "__seq"]).withColumn("line_no", F.col("_pos") + 1).drop("_pos")
+def with_line_numbers(marked: DataFrame, from_files: bool) -> DataFrame:
+    """(line_no, reason, raw) of the lines with a reason, counted from 1 over all
+    lines. ``marked``: __src, __block, __seq, reason, raw of every line. Lines
+    of a file have successive numbers within a block, so that counts by block suffice."""
+    bad = marked.filter("reason is not null")
+    if not from_files:
+        from ..functions.order import with_position
+
+        numbered = with_position(marked.select("__src", "__block", "__seq"), ["__src", "__block", "__seq"], "_pos")
+        return bad.join(numbered, ["__src", "__block", "__seq"]).select((F.col("_pos") + 1).alias("line_no"), "reason", "raw")
+    blocks = marked.groupBy("__src", "__block").agg(F.count(F.lit(1)).alias("_n"), F.min("__seq").alias("_first"))
+    # one row a block of input
+    earlier = Window.orderBy("__src", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return bad.join(starts, ["__src", "__block"]).select((F.col("_before") + F.col("__seq") - F.col("_first") + 1).alias("line_no"), "reason", "raw")

@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.convert import settings
+from ..operators.convert import _only, settings
 from ..operators.extract import extract
-from ..plans.config import InferredSchema
+from ..plans.config import MAX_LINE_BYTES, InferredSchema
+from ..sources.lines import _clean
 
 
 def stream_rows(spark: SparkSession, folder: str, schema: InferredSchema) -> DataFrame:
     """A streaming DataFrame of typed rows; bad lines and misfits are left out.
-    Stateless, so there is nothing to watermark."""
+    Stateless, so there is nothing to watermark. Of repeated keys the last counts,
+    unless the schema was inferred from lines that have some."""
     raw = spark.readStream.option("lineSep", "\n").text(folder)
-    value = F.regexp_replace("value", "\r$", "").alias("__line")
+    value = _clean(F.col("value"), MAX_LINE_BYTES).alias("__line")
     lines = raw.select(F.lit(0).alias("__src"), F.lit("").alias("__block"), F.lit(0).cast("bigint").alias("__seq"), value).filter("__line <> ''")
-    rows = extract(lines, schema).filter("_reason is null and size(_misfit) = 0")
-    return rows.select(*[f"`{c.name}`" for c in schema.columns])
+    rows = extract(lines, schema)
+    return _only(rows, F.col("_reason").isNull() & F.col("_misfit").isNull(), [c.name for c in schema.columns])
 
 
 def stream_to_parquet(spark: SparkSession, folder: str, schema: InferredSchema, out: str, checkpoint: str) -> StreamingQuery:
