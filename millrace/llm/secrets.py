@@ -1,17 +1,16 @@
 """Secret scans: fixed patterns, and assignment-aware lexing.
 
 The fixed patterns give the spans ``assign``, ``access`` and ``hex``. Lexing
-reads source and configuration syntax as name-literal pairs (``NAME = "x"``,
-``"name": "x"``, ``name => 'x'``, ``export NAME=x``) and as typed declarations
-(``name: T = "x"``, ``name T = "x"``; the type stands on one line and holds no
-``=``), resolves names and ``+``, over line breaks too, through earlier constants
-of the same text, and scores each literal by how
-sensitive the names are that it ends up under and by how random it looks. A
-literal over the limit is a span ``literal``, where it is written, unless it
-lies within a base span.
-
-Whole texts are read. Nulls: a null text is an empty one. Repeated rows are
-scanned one by one. Other columns are ignored.
+(``lexing``) reads source and configuration syntax as name-literal pairs, puts in
+earlier constants of the same scope, and each literal is scored by how sensitive
+the names are that it ends up under and by how random it looks. A literal over
+the limit is a span ``literal``, where it is written, unless it lies within a
+base span.
+
+Whole texts are read, in a time that grows with their length. Nulls: a null text
+is an empty one, a null doc_id is a document. Repeated rows are scanned one by one; spans
+that start together are in the order of KINDS. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +20,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table
 from .hashing import slices
+from .lexing import Lexer, covered_by
 
 KINDS = ("assign", "access", "hex", "literal")
 # The base patterns and the least length of what they must match.
@@ -42,22 +43,13 @@ SENSITIVE = {
 }
 #: Values that stand for a secret without being one.
 PLACEHOLDER = re.compile(r"(?i)example|change.?me|placeholder|your[_-]|dummy|sample|xxxx|\*\*\*\*|<|\$\{|^none$|^null$|^true$|^false$")
+#: Short words, names in capitals, paths and addresses: what code puts under a sensitive name without giving the secret.
+WORDLIKE = re.compile(r"(?=.{1,12}\Z)[a-z]+(?:[_-][a-z]+)*\Z|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\Z|[./~]|[a-z]+://")
 LIMIT = 0.62
 SHORTEST = 8
-
-_QUOTED = r'''"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`'''
-_TERM = rf"(?:{_QUOTED}|[A-Za-z0-9_][A-Za-z0-9_.+/=-]*)"
-_GAP = r"(?:[ \t]|\\?\r?\n)*+"
-# a term on another line is not the name of a next pair
-_NEXT = rf"""(?>{_TERM})(?![ \t]*["'`]?\]?[ \t]*[?!]?[ \t]*[:=])"""
-_VALUE = rf"{_TERM}(?:[ \t]*\+[ \t]*{_TERM}|{_GAP}\+{_GAP}{_NEXT})*"
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.-]*)["'`]?\]?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*({_VALUE})""")
-_SET = re.compile(rf"(?<![=!<>:])=(?![=>])[ \t]*({_VALUE})")
-_IN_NAME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
-_GO = re.compile(r"(?:^|[(;{]|\b(?:var|const)[ \t])[ \t]*([A-Za-z_][A-Za-z0-9_]*+)[ \t]+(?:\*|\[\d*\])*+[A-Za-z_][A-Za-z0-9_.]*+[ \t]*\Z")
-_ONE = re.compile(rf"({_QUOTED})|([A-Za-z0-9_][A-Za-z0-9_./=-]*)")
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
-
+#: What is left of the weight of a name around the value's own, and names that take none.
+AROUND = 0.6
+PLAIN_NAMES = {"id", "name", "url", "uri", "host", "user", "username", "type", "path", "version", "date", "time", "file"}
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of each base match, by start and then kind."""
@@ -71,89 +63,93 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+@lru_cache(1 << 14)  # names have NAME characters at most
 def name_score(name: str) -> float:
     flat = re.sub(r"[^a-z]", "", name.lower())
     return max((score for part, score in SENSITIVE.items() if part in flat), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """0 to 1: long, varied, of several kinds of characters."""
-    if len(value) < SHORTEST or " " in value or PLACEHOLDER.search(value):
-        return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return 0.5 * min(1.0, entropy / 3.5) + 0.2 * min(1.0, len(value) / 20) + 0.3 * min(1.0, (kinds - 1) / 2)
-
-
-def declared_name(before: str) -> str | None:
-    """The name of a typed declaration; ``before`` is what its line holds up to the ``=``."""
-    depth, at = 0, len(before) - 1
-    while at >= 0:
-        c = before[at]
-        if c in "]>)" and before[at - 1 : at + 1] != "->":
-            depth += 1
-        elif c in "[<(":
-            depth -= 1
-        if depth < 0 or not depth and c in ",;{}":
-            break
-        if not depth and c == ":":
-            if before[at - 1 : at] != ":":
-                head = before[:at].rstrip(" \t").rstrip("?!").removesuffix("]")
-                head = head[:-1] if head.endswith(("'", '"', "`")) else head
-                name = head[len(head.rstrip(_IN_NAME)) :].lstrip("0123456789.-")
-                return name if name and before[at + 1 :].strip() else None
-            at -= 1
-        at -= 1
-    m = _GO.search(before)
-    return m[1] if m else None
-
-
-def declared(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, name) of each value that a typed declaration sets."""
-    last = 0
-    for m in _SET.finditer(text):
-        # from the line's start, or from the = before it
-        start = max(text.rfind("\n", last, m.start()) + 1, text.rfind("=", last, m.start()), last)
-        last = m.start()
-        if name := declared_name(text[start : m.start()]):
-            yield m.start(1), m.end(1), name
-
-
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """(name, [(literal, start, end), ...]) with constants put in for names."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    for start, end, name, typed in sorted([*((m.start(2), m.end(2), m[1], False) for m in _PAIR.finditer(text)), *((*d, True) for d in declared(text))]):
-        value, first = [], True
-        line, *more = text[start:end].split("\n", 1)
-        added = "+" in line or any(q in text[start:end] for q in "\"'`") and bool(more)
-        for one in _ONE.finditer(text, start, end):
-            if one[1]:
-                value.append((one[1][1:-1], one.start() + 1, one.end() - 1))
-            elif one[2] in known:
-                value += known[one[2]]
-            elif first and not typed and not (_NAME.match(one[2]) and added):
-                value.append((one[2], one.start(), one.end()))  # a bare value, as in ini files
-            first = False
-        if value:
-            # each place once, if many, so that names put into each other don't multiply
-            known[name] = value if len(value) <= 64 else list(dict.fromkeys(value))
-            yield name, value
+class Looks:
+    """What a literal's score needs, so that joined literals cost no more than their parts."""
+
+    __slots__ = ("counts", "length", "never")
+
+    def __init__(self, value: str = ""):
+        self.length, self.counts = len(value), Counter(value)
+        self.never = " " in value or bool(PLACEHOLDER.search(value))
+
+    def add(self, other: Looks) -> None:
+        self.length += other.length
+        self.counts.update(other.counts)
+        self.never |= other.never
+
+    def score(self) -> float:
+        """0 to 1: long, varied, of several kinds of characters."""
+        if self.length < SHORTEST or self.never:
+            return 0.0
+        entropy = -sum(n / self.length * math.log2(n / self.length) for n in self.counts.values())
+        kinds = sum(any(test(c) for c in self.counts) for test in (_lower, _upper, _digit, lambda c: not (_lower(c) or _upper(c) or _digit(c))))
+        return 0.5 * min(1.0, entropy / 3.5) + 0.2 * min(1.0, self.length / 20) + 0.3 * min(1.0, (kinds - 1) / 2)
+
+
+def _lower(c: str) -> bool:
+    return "a" <= c <= "z"
+
+
+def _upper(c: str) -> bool:
+    return "A" <= c <= "Z"
+
+
+def _digit(c: str) -> bool:
+    return "0" <= c <= "9"
 
 
 def literal_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    if "=" not in text and ":" not in text:  # no pair without one of them
+    """Literals that end up under sensitive names and look random, outside base spans.
+
+    A value's score goes to every literal that it is joined of, directly or
+    through constants: from later nodes to earlier ones, each link once."""
+    if "=" not in text and ":" not in text and "(" not in text and "--" not in text:  # no pair without one of them
+        return []
+    told: list[tuple[int, float]] = []
+
+    def found(names: tuple[str, ...], around: tuple[str, ...], node: int) -> None:
+        own = max(map(name_score, names), default=0.0)
+        if own < 1.0 and not any(n.lower().rsplit(".", 1)[-1] in PLAIN_NAMES for n in names):
+            own = max(own, AROUND * max(map(name_score, around), default=0.0))
+        if own:
+            told.append((node, own))
+
+    lexer = Lexer(text, found)
+    if not told:
         return []
-    best: dict[tuple[int, int], float] = {}
-    for name, parts in pairs(text):
-        sensitive = name_score(name)
-        if not sensitive:
+    needed = bytearray(len(lexer.parts))
+    for node, _ in told:
+        needed[node] = 1
+    for node in range(len(needed) - 1, -1, -1):
+        if needed[node]:
+            for part in lexer.parts[node]:
+                needed[part] = 1
+    looks: dict[int, Looks] = {}
+    for node in range(len(needed)):
+        if needed[node]:
+            at = lexer.literals[node]
+            looks[node] = Looks(text[at[0] : at[1]]) if at else Looks()
+            for part in lexer.parts[node]:
+                looks[node].add(looks[part])
+    best = [0.0] * len(lexer.parts)
+    for node, own in told:
+        at = lexer.literals[node]
+        if at and WORDLIKE.match(text[at[0] : min(at[1], at[0] + 200)]):
             continue
-        looks = literal_score("".join(p for p, _, _ in parts))
-        for _, start, end in parts:
-            if end > start:
-                best[start, end] = max(best.get((start, end), 0.0), 0.5 * sensitive + 0.5 * looks if looks else 0.0)
-    covered = lambda s, e: any(b <= s and e <= f for b, _, f in base)
-    return [(s, 3, e) for (s, e), score in best.items() if score >= LIMIT and not covered(s, e)]
+        if score := looks[node].score():
+            best[node] = max(best[node], 0.5 * own + 0.5 * score)
+    for node in range(len(best) - 1, -1, -1):
+        for part in lexer.parts[node]:
+            best[part] = max(best[part], best[node])
+    covered = covered_by([(s, e) for s, _, e in base])
+    spans = {at for at, score in zip(lexer.literals, best, strict=True) if at and score >= LIMIT}
+    return [(s, 3, e) for s, e in spans if not covered(s, e)]
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
