@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut, stored
+
+__all__ = ["ARROW_ROWS", "buckets_for", "cut", "free_name", "number_within", "small_batches", "stored", "table", "uniform"]
+
 #: Rows of one Arrow batch: long texts must fit a worker's memory.
 ARROW_ROWS = 1000
 
@@ -23,24 +24,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, stored in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a Parquet table: a fraction of the disk of a checkpoint. It goes when the session ends."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.option("compression", "zstd").parquet(path.toString())
-    return spark.read.schema(df.schema).parquet(path.toString())
-
-
 def uniform(*cols) -> Column:
     """A place in [0, 1) that depends on the given columns alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / float(1 << 53)
@@ -67,3 +50,11 @@ def number_within(df: DataFrame, group: list[str], place: Column, parts: int, na
         keys = keys & s
     out = rows.alias("_l").join(starts.alias("_r"), keys)
     return out.select(*[F.col(f"_l.`{c}`") for c in df.columns if c not in ("_place", "_range")], (F.col("_start") + F.col("_rank")).cast("long").alias(name))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
