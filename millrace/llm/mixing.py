@@ -7,9 +7,12 @@ finish times, sources progress by their weights, so cutting that order at the
 total budget gives every source its share, and one that has run out of passes
 leaves the rest to the others. Only DataFrame functions are used.
 
-Nulls: a null text has size 0, a null source is a source. Documents of size 0
-are in the result with nothing taken. Repeated rows count as rows of their own.
-An empty table gives an empty result. Other columns are ignored.
+Nulls: a null text has size 0, a null source is a source, a null doc_id an id.
+Documents of size 0 are in the result with nothing taken. Repeated rows are counted
+first and then queue as documents of their own, so that reruns agree on how many
+of them are taken; documents that finish together are taken together. A long text
+is one document, whole or not at all. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import with_position
-from .common import buckets_for, cut, table, uniform
+from .common import buckets_for, cut, number_within, stored, table, uniform
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows of the finish-time order that one task sorts at the cut.
 EXACT_ROWS = 100_000
 RANGES = 4096
+#: Documents that are broadcast to the stage that repeats them.
+BROADCAST_ROWS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -88,7 +93,10 @@ def mix_sources(docs: DataFrame, weigh=cyclic_weights, share: float = 1.5, passe
     The budget is ``share`` of all sizes; a source is read ``passes`` times at
     most. Returns doc_id, size, source, source_size, weight, target, taken."""
     extra = ["tie"] if keep_tie else []
-    rows = cut(docs.select("doc_id", "source", "size", *extra, uniform(F.lit(seed), "doc_id", "tie").alias("place")))
+    # equal rows are told apart by a number, so that they queue at places of their own
+    equal = docs.groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("rows"))
+    each = equal.withColumn("which", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    rows = cut(each.select("doc_id", "source", "size", *extra, uniform(F.lit(seed), "doc_id", "tie", "which").alias("place")))
     sources = cut(weigh(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))))
     total = sources.agg(F.sum("source_size").alias("size"), F.sum("n").alias("n")).first()
     size, n = total["size"] or 0, total["n"] or 0
@@ -115,21 +123,33 @@ def mix_sources(docs: DataFrame, weigh=cyclic_weights, share: float = 1.5, passe
     return queued.select(*extra, "doc_id", "size", "source", "source_size", "weight", target.cast("double").alias("target"), taken.cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, broadcast_rows: int = 200_000, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, once for each time the mix takes them."""
-    tie = F.xxhash64("text")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tie.alias("tie"))
-    taken = mix_sources(sized, keep_tie=True, **options).filter("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.ceil(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    times = cut(times)
-    # ids and counts alone; they are broadcast only up to a fixed number
+def sized_documents(docs: DataFrame) -> DataFrame:
+    """What ``mix_sources`` reads of documents."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", "source").alias("tie"))
+
+
+def mixed_documents(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, once for each time the mix takes them.
+
+    Rows that share id, text and source are as good as each other: what is taken
+    of them goes round them."""
+    taken = mix_sources(sized_documents(docs), keep_tie=True, **options).filter("size > 0")
+    times = taken.groupBy("doc_id", "tie").agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    times = cut(times.select(F.col("doc_id").alias("id"), "tie", "rows", F.expr("copies div rows").alias("all"), (F.col("copies") % F.col("rows")).alias("some")))
+    # ids and counts alone; they are broadcast only up to a fixed number, and joined by a shuffle beyond it
     side = F.broadcast(times) if times.count() <= broadcast_rows else times
-    met = docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]) & (tie == side["_tie"]))
-    again = met.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = whole.select("row", F.col("row.doc_id").alias("_doc"), F.xxhash64("row.text", "row.source").alias("_key"))
+    met = keyed.join(side, F.col("_doc").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("tie"))).drop("_doc", "_key")
+    out = met.filter("some = 0").select("row", "all")
+    if not times.filter("some > 0 and rows > 1").isEmpty():
+        odd = stored(met.filter("some > 0").withColumn("at", uniform(F.lit(5), F.monotonically_increasing_id())))
+        numbered = number_within(odd, ["id", "tie"], F.col("at"), 64, "n", ["at"])
+        out = out.unionByName(numbered.select("row", (F.col("all") + F.when(F.col("n") < F.col("some"), 1).otherwise(0)).alias("all")))
+    again = out.filter(F.col("all") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("all"))).alias("again"))
+    return again.select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    return mix_sources(sized).select("doc_id", "size", "source_size", "target", "taken", "source", "weight")
+    mixed = mix_sources(sized_documents(table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "weight")

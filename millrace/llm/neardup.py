@@ -298,20 +298,22 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def without_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, one of each class; those without words all stay."""
-    found = cut(judged(docs, threshold).select(F.col("id").alias("_id"), F.col("t").alias("_t"), "n", "kept"))
+    found = cut(judged(docs, threshold).select("id", "t", "n", "kept"))
 
     def small(keys: DataFrame) -> DataFrame:
         return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_t", F.xxhash64("text"))
-    gone = found.filter("not kept").select("_id", "_t").distinct()
-    rest = keyed.join(small(gone), ["_id", "_t"], "left_anti")
-    repeated = cut(found.filter("kept and n > 0").groupBy("_id", "_t").count().filter("count > 1").select("_id", "_t"))
+    # the rows as one column, so that no name of theirs meets one of ours
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = whole.select("row", F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64("row.text").alias("t"))
+    gone = found.filter("not kept").select("id", "t").distinct()
+    rest = keyed.join(small(gone), ["id", "t"], "left_anti")
+    repeated = cut(found.filter("kept and n > 0").groupBy("id", "t").count().filter("count > 1").select("id", "t"))
     if not repeated.isEmpty():
         repeated = small(repeated)
-        once = rest.join(repeated, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"])
-        rest = rest.join(repeated, ["_id", "_t"], "left_anti").unionByName(once)
-    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+        once = rest.join(repeated, ["id", "t"], "left_semi").dropDuplicates(["id", "t"])
+        rest = rest.join(repeated, ["id", "t"], "left_anti").unionByName(once)
+    return rest.select("row.*")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
