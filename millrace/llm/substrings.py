@@ -12,9 +12,12 @@ level is a count by hash; only the last uses 128 bits and decides.
 Exact copies of a text need no windows: their words all go, if there are 35 of
 them. In each task two copies at most stand for all.
 
+Hashes that very many places share are told to every task and their rows are dealt
+by place, so that no task is left with all of one passage.
+
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Nulls: a null text has no words,
-a null doc_id is an id. Repeated rows are copies. An empty table gives an empty
-result. Other columns are ignored.
+a null doc_id is an id. Repeated rows are copies. A text of any length is read
+whole, by one task. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, stored, table
+from .common import HOT, is_among, small_batches, stored, table
 from .hashing import Words, inside, mix, rows_of, slices, window_hashes
 
 WINDOW = 35
@@ -129,7 +132,8 @@ def anchors(docs: DataFrame, seeds_only: bool) -> DataFrame:
 
 
 def _repeated(df: DataFrame, *columns: str) -> DataFrame:
-    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    """Keys that occur twice or more, and how often (n)."""
+    return stored(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
 
 
 def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -140,7 +144,7 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = _keyed(docs)
     if few:  # ids first, so that only the texts needed are moved
         texts = texts.join(F.broadcast(lists.select(*_KEY)), _KEY, "left_semi")
-    met = texts.dropDuplicates(_KEY).join(lists, _KEY) if few else texts.join(lists, _KEY)
+    met = texts.dropDuplicates(_KEY).join(lists, _KEY)
     names = ["id", "t1", "start", "open", "w1", "w2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,44 +169,55 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, t1, first, last): runs of starts of repeated windows; first -1 for whole texts."""
-    # stored first: a count beside the join would keep Spark from splitting a hot seed
-    often = stored(_repeated(anchors(docs, True), "seed"))
-    level1 = anchors(docs, False).join(often, "seed")
+    """(id, t1, first, last): runs of starts of repeated windows."""
+    often = _repeated(anchors(docs, True), "seed")
+    place = [*_KEY, "place"]
+    level1 = is_among(anchors(docs, False), ["seed"], often, "again", place).filter("again")
     level1 = stored(level1.select(*_ANCHOR))
     sides = level1.select(F.lit(0).alias("side"), F.col("right").alias("h")).unionByName(level1.select(F.lit(1).alias("side"), F.col("left").alias("h"))).filter("h is not null")
-    twice = stored(_repeated(sides, "side", "h"))
-    r = twice.filter("side = 0").select(F.col("h").alias("right"), F.lit(True).alias("r"))
-    l = twice.filter("side = 1").select(F.col("h").alias("left"), F.lit(True).alias("l"))  # noqa: E741
-    level2 = level1.join(r, "right", "left").join(l, "left", "left")
+    twice = _repeated(sides, "side", "h")
+    level2 = is_among(level1, ["right"], twice.filter("side = 0").select(F.col("h").alias("right"), "n"), "r", place)
+    level2 = is_among(level2, ["left"], twice.filter("side = 1").select(F.col("h").alias("left"), "n"), "l", place)
     # windows at offsets up to 17 hold the right side, those from 9 on the left side
-    level2 = level2.withColumn("from", F.when(F.col("r").isNull(), F.greatest("least", F.lit(TWICE))).otherwise(F.col("least")))
-    level2 = level2.withColumn("to", F.when(F.col("l").isNull(), F.least("most", F.lit(SEED - 1))).otherwise(F.col("most"))).filter(F.col("from") <= F.col("to"))
-    # a checkpoint keeps the parts that a hot window was split into apart; Parquet files would be read together
-    level2 = cut(level2.select(*_KEY, "place", "least", "most", "from", "to", "seed", "s1", "s2"))
+    level2 = level2.withColumn("from", F.when(F.col("r"), F.col("least")).otherwise(F.greatest("least", F.lit(TWICE))))
+    level2 = level2.withColumn("to", F.when(F.col("l"), F.col("most")).otherwise(F.least("most", F.lit(SEED - 1)))).filter(F.col("from") <= F.col("to"))
+    level2 = stored(level2.select(*_KEY, "place", "least", "most", "from", "to", "seed", "s1", "s2"))
     # whole stretches
     first = F.min(F.struct(*_KEY, "place", "least", "most")).alias("first")
     classes = stored(level2.groupBy("seed", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), first))
-    again = classes.filter("n > 1").select("s1", "s2", F.lit(True).alias("again"))
-    met = level2.join(again, ["s1", "s2"], "left")
+    met = is_among(level2, ["seed", "s1", "s2"], classes.filter("n > 1").select("seed", "s1", "s2", "n"), "again", place)
     whole = met.filter("again").select(*_KEY, (F.col("place") - F.col("most")).alias("first"), (F.col("place") - F.col("least")).alias("last"))
-    single = met.filter("again is null").select(*_KEY, "place", F.col("from").alias("least"), F.col("to").alias("most"), F.lit(True).alias("open"))
+    single = met.filter("not again").select(*_KEY, "place", F.col("from").alias("least"), F.col("to").alias("most"), F.lit(True).alias("open"))
     # a unique stretch may share windows with a repeated one of the same seed
-    seeds = classes.filter("n = 1").select("seed").distinct()
-    partners = classes.filter("n > 1").join(seeds, "seed", "left_semi").select("first.*").withColumn("open", F.lit(False))
+    seeds = stored(classes.filter("n = 1").groupBy("seed").agg(F.count(F.lit(1)).alias("n")))
+    partners = is_among(classes.filter("n > 1").select("seed", "first"), ["seed"], seeds, "needed", ["first"])
+    partners = partners.filter("needed").select("first.*").withColumn("open", F.lit(False))
     rows = stored(windows(docs, single.unionByName(partners)))
-    ones = rows.filter("open").join(_repeated(rows, "w1", "w2"), ["w1", "w2"]).select(*_KEY, F.col("start").alias("first"), F.col("start").alias("last"))
-    keyed = _keyed(docs).select(*_KEY, "t2")
-    copies = keyed.join(_repeated(keyed.filter("t1 is not null"), "t1", "t2"), ["t1", "t2"]).select(*_KEY, F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return whole.unionByName(ones).unionByName(copies.distinct())
+    ones = is_among(rows.filter("open"), ["w1", "w2"], _repeated(rows, "w1", "w2"), "again", [*_KEY, "start"])
+    ones = ones.filter("again").select(*_KEY, F.col("start").alias("first"), F.col("start").alias("last"))
+    return whole.unionByName(ones)
+
+
+def copied(docs: DataFrame) -> DataFrame:
+    """(id, t1, n) of texts that stand in several rows, for each id that they stand under n times."""
+    keyed = _keyed(docs).filter("text is not null").groupBy(*_KEY, "t2").agg(F.count(F.lit(1)).alias("n"))
+    keyed = stored(keyed)
+    several = stored(keyed.groupBy("t1", "t2").agg(F.sum("n").alias("n")).filter("n > 1"))
+    return is_among(keyed, ["t1", "t2"], several, "copy", ["id"]).filter("copy").select(*_KEY, "n")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of every row."""
-    marks = repeats(docs).groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("at"))
-    m = marks.select(F.col("id").alias("_id"), F.col("t1").alias("_t1"), "at")
-    texts = _keyed(docs)
-    met = texts.join(m, (texts["id"] == m["_id"]) & (texts["t1"] == m["_t1"]), "left")
+    every = F.array(F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last")))
+    copies = stored(copied(docs))
+    # rows that stand for many are told to every task, as in is_among
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    hot = copies.filter(F.col("n") * HOT > total).select(*_KEY, every.alias("whole"))
+    runs = repeats(docs).unionByName(copies.filter(F.col("n") * HOT <= total).select(*_KEY, F.lit(-1).alias("first"), F.lit(-1).alias("last")))
+    marks = runs.groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("at")).withColumn("salt", F.lit(0))
+    texts = _keyed(docs).drop("t2").join(F.broadcast(hot), _KEY, "left")
+    salt = F.when(F.col("whole").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
+    met = texts.withColumn("salt", salt).join(marks, [*_KEY, "salt"], "left").withColumn("at", F.coalesce("whole", "at"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
