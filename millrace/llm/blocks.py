@@ -6,7 +6,7 @@ parts meets in a block of its own, so that every pair of rows meets somewhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,14 @@ def deal_blocks(df: DataFrame, keys: list[str], size: Column, item: Column, most
 
 
 def each_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Whole groups of a sorted stream, many at a time: rows, and group offsets."""
-    held: pa.RecordBatch | None = None
+    """Whole groups of a sorted stream, many at a time: rows, and group offsets.
+    A row is copied once, however many batches its group takes."""
+
+    def last_key(b: pa.RecordBatch) -> tuple:
+        return tuple(b.column(k)[b.num_rows - 1].as_py() for k in keys)
+
+    def first_key(b: pa.RecordBatch) -> tuple:
+        return tuple(b.column(k)[0].as_py() for k in keys)
 
     def starts(b: pa.RecordBatch) -> np.ndarray:
         new = np.zeros(b.num_rows, bool)
@@ -37,22 +43,41 @@ def each_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[t
             new[1:] |= v[1:] != v[:-1]
         return np.flatnonzero(new)
 
+    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        one = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return one, starts(one)
+
+    held: list[pa.RecordBatch] = []  # the stream's last group so far
     for b in batches:
         if not b.num_rows:
             continue
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        at = starts(b)
-        if at[-1]:
-            yield b.slice(0, int(at[-1])), at
-        held = b.slice(int(at[-1]))
-    if held is not None:
-        yield held, np.array([0, held.num_rows])
-
-
-def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n rows the smallest row that links a-b lead to."""
-    label = np.arange(n)
+        at = int(starts(b)[-1])
+        if held and not at and last_key(held[-1]) == first_key(b):
+            held.append(b)
+            continue
+        done = [*held, b.slice(0, at)] if at else held
+        if done:
+            yield whole(done)
+        held = [b.slice(at)]
+    if held:
+        yield whole(held)
+
+
+def matrix(raw: pa.Array, kind: str) -> np.ndarray:
+    """Binary values of one length as rows of numbers."""
+    if isinstance(raw, pa.ChunkedArray):
+        raw = raw.combine_chunks()
+    if not len(raw):
+        return np.zeros((0, 0), kind)
+    _, offsets, data = raw.buffers()
+    wide = pa.types.is_large_binary(raw.type)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind).reshape(len(raw), -1)
+
+
+def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """For each of n rows the smallest row that links a-b lead to, on top of what ``label`` holds already."""
+    label = np.arange(n) if label is None else label
     while len(a):
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -64,6 +89,8 @@ def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if (new == label).all():
             break
         label = new
+    while (label[label] != label).any():
+        label = label[label]
     return label
 
 
@@ -77,5 +104,3 @@ def pairs_of(sizes: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple
             base = at[k : k + step, None]
             yield (base + i).ravel(), (base + j).ravel()
 
-
-Compare = Callable[[np.ndarray, np.ndarray], np.ndarray]

@@ -2,16 +2,19 @@
 
 Vectors are scaled to length one, where a cosine of c is a distance of
 sqrt(2 - 2c). Labels with many vectors get pivots; a vector's cell is its
-nearest pivot's. By the triangle inequality, a vector within r of one in
-another cell is at most 2r further from that cell's pivot than from its own: to
-such cells (of smaller number, so that each pair meets once) it is copied, and
-cells join independently, in blocks of bounded size by matrix products in
-double precision. Blocks return counts and one link to a local centre.
+nearest pivot's. By the triangle inequality, a vector
+within r of one in another cell is at most 2r further from that cell's pivot than
+from its own, and no more than r beyond the plane between the two pivots, which is
+the closer bound: to such cells (of smaller number, so that each pair meets once)
+it is copied, and cells join independently, in blocks of bounded size by matrix
+products in double precision. Blocks return counts and one link to a local centre.
 
 Equal vectors of a label are one class. Vectors that are null, zero, or hold
 null or non-finite components, and those without a label, link with nothing. A
 vector links only with vectors of the same number of components. Repeated rows
-are vectors of their own. Other columns are ignored.
+are vectors of their own, and rows that share a vec_id are told apart by their
+vectors; a null vec_id is an id. A cosine of the threshold itself is a link. An
+empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import deal_blocks, each_group, smallest_reachable
+from .blocks import deal_blocks, each_group, matrix, smallest_reachable
 from .common import cut, small_batches, table
 from .components import components
 
 THRESHOLD = 0.98
 #: Vectors of a cell, about; pivots are at most 1024 and one for each label above that share.
 CELL, MOST_PIVOTS = 1000, 1024
-BLOCK_ROWS = 512
+#: Vectors of a block's part, and how many are compared with all of a block at once.
+BLOCK_ROWS, STRIP = 2048, 512
 NO_ID = -(2**63)
 
 
@@ -40,22 +44,24 @@ def usable(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            for row, (v, label) in enumerate(zip(b.column(1), b.column(2).to_pylist(), strict=True)):
-                values = v.values if v.is_valid else None
-                if label is None or values is None or not len(values) or values.null_count:
-                    continue
-                x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-                top = np.abs(x).max()
-                if not np.isfinite(x).all() or top == 0:
-                    continue
-                x = x / top + 0.0
-                unit = x / np.sqrt((x * x).sum())
-                for column, value in zip(out, (row, label, len(x), unit.astype("<f8").tobytes(), b.column(3)[row].as_py(), b.column(4)[row].as_py()), strict=True):
-                    column.append(value)
-            ids = b.column(0).take(pa.array(out[0], pa.int64()))
-            types = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(out[1:], types[1:], strict=True)]], names)
+            lists = b.column(1)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values
+            gone = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+            x = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            size = np.diff(at)
+            ok = lists.is_valid().to_numpy(zero_copy_only=False) & b.column(2).is_valid().to_numpy(zero_copy_only=False) & (size > 0) & (gone[at[1:]] == gone[at[:-1]])
+            for d in np.unique(size[ok]):  # vectors of one length at a time
+                rows = np.flatnonzero(ok & (size == d))
+                m = x[at[rows][:, None] + np.arange(d)]
+                top = np.abs(m).max(axis=1)
+                usable = np.isfinite(m).all(axis=1) & (top > 0)
+                rows, m = rows[usable], m[usable] / top[usable][:, None] + 0.0
+                unit = m / np.sqrt((m * m).sum(axis=1))[:, None]
+                raw = pa.array([r.tobytes() for r in unit.astype("<f8")], pa.binary())
+                take = pa.array(rows)
+                columns = [b.column(0).take(take), b.column(2).take(take).cast(pa.int64()), pa.array(np.full(len(rows), d, np.int64)), raw, b.column(3).take(take), b.column(4).take(take)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     small_batches(vectors.sparkSession)
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.col("embedding"), F.col("label").cast("bigint").alias("label"), F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(7), "embedding").alias("k2"))
@@ -96,11 +102,14 @@ def to_cells(classes: DataFrame, pivots: dict[tuple[int, int], np.ndarray], radi
                     cell.append(np.zeros(len(rows), np.int64))
                     home.append(np.ones(len(rows), bool))
                     continue
-                x = np.stack([np.frombuffer(unit[int(r)].as_py(), "<f8") for r in rows])
-                away = np.sqrt(np.maximum(2 - 2 * (x @ p.T), 0))
-                own = away.argmin(axis=1)
-                near = away <= away[np.arange(len(rows)), own][:, None] + 2 * radius + 1e-6
-                near &= np.arange(len(p))[None, :] <= own[:, None]
+                x = matrix(unit.take(pa.array(rows)), "<f8")
+                squares = np.maximum(2 - 2 * (x @ p.T), 0)
+                own = squares.argmin(axis=1)
+                far = squares - squares[np.arange(len(rows)), own][:, None]
+                apart = np.sqrt(np.maximum(2 - 2 * (p[own] @ p.T), 0))
+                # beyond the plane between two pivots by more than the radius, which is never more than
+                # what the distances alone allow
+                near = (far <= 2 * radius * apart + 1e-6) & (np.arange(len(p))[None, :] <= own[:, None])
                 r, c = np.nonzero(near)
                 take.append(rows[r])
                 cell.append(c)
@@ -125,14 +134,23 @@ def range_join(cells: DataFrame, threshold: float) -> DataFrame:
             starts = starts[starts < b.num_rows]
             for start, end in zip(starts, np.append(starts[1:], b.num_rows), strict=True):
                 at = start + np.argsort(ids[start:end], kind="stable")
-                x = np.stack([np.frombuffer(unit[int(i)].as_py(), "<f8") for i in at])
-                linked = x @ x.T >= threshold
-                np.fill_diagonal(linked, False)
-                linked &= home[at][:, None] | home[at][None, :]  # two guests meet elsewhere
-                if lo[start] != hi[start]:
-                    linked &= part[at][:, None] != part[at][None, :]
-                links = linked @ copies[at]
-                label = smallest_reachable(len(at), *np.nonzero(np.triu(linked)))
+                x = matrix(unit.take(pa.array(at)), "<f8")
+                n, one = len(at), lo[start] == hi[start]
+                side = np.zeros(n, bool) if one else part[at] == hi[start]
+                links, label = np.zeros(n, np.int64), np.arange(n)
+                left = np.arange(n) if one else np.flatnonzero(~side)
+                right = np.arange(n) if one else np.flatnonzero(side)
+                for s in range(0, len(left), STRIP):
+                    rows = left[s : s + STRIP]
+                    linked = x[rows] @ x[right].T >= threshold
+                    linked &= home[at[rows]][:, None] | home[at[right]][None, :]  # two guests meet elsewhere
+                    if one:
+                        linked[np.arange(len(rows)), rows] = False
+                    else:
+                        links[right] += copies[at[rows]] @ linked
+                    links[rows] += linked @ copies[at[right]]
+                    i, j = np.nonzero(linked)
+                    label = smallest_reachable(n, rows[i], right[j], label)
                 some = links > 0
                 found.append((ids[at][some], links[some], ids[at][label[some]]))
             columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
