@@ -15,11 +15,13 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, seed: int) -> DataFrame:
-    """(doc_id, text, quality, toxic) of about ``bound`` labelled documents, the
-    same ones on each run. The labels' side has a proven bound, so it is broadcast
-    and the documents are read once without a shuffle."""
+    """(doc_id, text, quality, toxic) of about ``bound`` labelled documents, and 2 *
+    ``bound`` at most, the same ones on each run; of rows that share an id one text.
+    The labels' side has a proven bound, so it is broadcast and the documents are
+    read once; only the picked ones are shuffled."""
     rows = graded(labels)
     n = rows.count()
     share = min(1.0, bound / max(n, 1))
     picked = rows.filter(uniform(F.lit(seed), "doc_id") < share).limit(2 * bound)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return met.groupBy("doc_id", "quality", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality", "toxic")

@@ -11,7 +11,9 @@ share of each language's, up to the bound). Only texts are inputs.
 
 Nulls: a null text, and one without any letter, is ``und`` with score 0; a null
 language is no label. Without labels every text is ``und``. Repeated rows are
-judged one by one. Other columns are ignored.
+judged one by one and alike; of languages that lose alike the first by name is
+taken. A long text is read whole. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ UNKNOWN = "und"
 
 def codewords(n: int, seed: int = 3) -> np.ndarray:
     """n rows of signs; of random draws, the one whose closest rows differ most.
-    No bit is the same for all, nor (from three on) says just one language."""
+    No bit is the same for all."""
     rng = np.random.default_rng(seed)
     length = max(7, 4 * int(np.ceil(np.log2(max(n, 2)))) + 3)
     best, most = np.ones((n, length)), -1

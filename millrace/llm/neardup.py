@@ -17,7 +17,8 @@ Nulls: a null text has no words; a document without words links with nothing.
 A null doc_id is an id of its own kind. Repeated rows are copies of each other.
 Ids need not be unique: classes are told apart by a hash of their shingles, rows
 of one id by a hash of their text, and only the class_id is a doc_id.
-An empty table gives an empty result. Other columns are ignored.
+A similarity of the threshold itself is a link. A long text is read whole, by one
+task. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ that is, or a round lowers neither the open pieces nor their sequences. What a
 lot may then still be from the fewest sequences stands in ``gap``.
 
 Nulls: a null text is an empty one, a single end mark. A null doc_id is a
-document. Repeated rows are packed each. An empty table gives an empty result.
-Other columns are ignored.
+document. Repeated rows are packed each, and dealt to lots by a number of the row, so
+that no lot holds them all; pieces of one length are packed in the order of their
+ids. A long text is tokenized whole, by one task. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -192,12 +194,12 @@ def pack(pieces: DataFrame, lot_rows: int = LOT, rounds: int | None = None) -> D
     """Adds sequence_id and offset to what ``tokenize`` returns; ``gap`` says how
     far a piece's lot may be from the fewest sequences. ``rounds`` is a bound for
     those who want one."""
-    rest = cut(pieces)
+    rest = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
     n, sequences, before, done = rest.count(), None, None, []
     for turn in count():
         lots = max(1, -(-n // lot_rows))
-        key = F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(lots)).alias("lot")
-        dealt = rest.select("*", key).groupBy("lot").applyInPandas(_pack_lot, f"{_ROW}, lot bigint, bin bigint, offset bigint, open boolean, gap bigint")
+        key = F.pmod(F.xxhash64(F.lit(turn), "row"), F.lit(lots)).alias("lot")
+        dealt = rest.select("*", key).groupBy("lot").applyInPandas(_pack_lot, f"{_ROW}, row bigint, lot bigint, bin bigint, offset bigint, open boolean, gap bigint")
         number = F.lit(turn).cast("long") * (1 << 48) + F.col("lot") * (1 << 20) + F.col("bin")
         packed = cut(dealt.withColumn("sequence_id", number))
         still = packed.filter("open")
@@ -209,7 +211,7 @@ def pack(pieces: DataFrame, lot_rows: int = LOT, rounds: int | None = None) -> D
             done.append(packed)
             break
         done.append(packed.filter("not open"))
-        rest, before, n, sequences = still.select("doc_id", "piece", "start", "length", "ids_crc32"), still, left, now
+        rest, before, n, sequences = still.select("doc_id", "piece", "start", "length", "ids_crc32", "row"), still, left, now
     return reduce(DataFrame.unionByName, done).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap")
 
 

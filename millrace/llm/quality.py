@@ -10,8 +10,10 @@ distinct ending of a word as written, and steps of three shares (distinct
 words, capitals, symbols). All are hashed into one table of weights.
 
 Nulls: a null or empty text has no words and gets the features of an empty one;
-labels with nulls are ignored. Without labels of two grades every document is
-kept. Repeated rows are scored one by one. Other columns are ignored.
+labels with nulls are ignored, and of repeated labels the worst counts. Without
+labels of two grades every document is kept. Repeated rows are scored one by one and
+alike; a probability at the limit is enough. A long text is read whole. An empty
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,9 +7,14 @@ anomalous), and the limit is the score that separates labelled good from bad
 documents best while it keeps nearly all good ones. The base rules fail a
 document by themselves.
 
+Repeated lines and digits are reported and not judged: licence lines and keys
+stand in good documents too.
+
 Nulls: a null text is an empty one (it has no words and fails the base rules).
 Labels with nulls are ignored; without labels of both kinds the forest rejects
-nothing. Repeated rows are judged one by one. Other columns are ignored.
+nothing. Repeated rows are judged one by one and alike; a score at the limit is
+kept. A long text is measured whole. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,8 +99,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def features(s: dict[str, np.ndarray]) -> np.ndarray:
     """One column a rule: shares, so that length alone sets nobody apart, and
-    their roots, so that small shares spread. Repeated lines and digits are left
-    to the base rules: licence lines and keys stand in good documents too."""
+    their roots, so that small shares spread."""
     words, chars = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1)
     return np.stack([s["word_chars"] / words, np.sqrt(s["n_symbols"] / words), np.sqrt(s["n_upper"] / chars), np.sqrt(s["n_marks"] / words), np.sqrt(s["n_repeat_words"] / words)], axis=1)
 
