@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import cut, stored
 
-__all__ = ["ARROW_ROWS", "buckets_for", "cut", "is_among", "number_within", "small_batches", "stored", "table", "uniform"]
+__all__ = ["ARROW_ROWS", "buckets_for", "cut", "is_among", "looked_up", "number_within", "small_batches", "stored", "table", "uniform"]
 
 #: What share of the rows a key must have to be treated apart: 1 / HOT.
 HOT = 1024
@@ -54,19 +54,24 @@ def number_within(df: DataFrame, group: list[str], place: Column, parts: int, na
     return out.select(*[F.col(f"_l.`{c}`") for c in df.columns if c not in ("_place", "_range")], (F.col("_start") + F.col("_rank")).cast("long").alias(name))
 
 
-def is_among(rows: DataFrame, keys: list[str], counts: DataFrame, name: str, spread: list[str]) -> DataFrame:
-    """``rows`` with a boolean ``name``: whether their keys are in ``counts`` (keys
-    and ``n``, how many rows have them, stored).
+def looked_up(rows: DataFrame, keys: list[str], told: DataFrame, what: list[str], spread: list[str]) -> DataFrame:
+    """``rows`` with the columns ``what`` of ``told`` (keys, ``n``: how many rows have
+    them, stored), null where a key is not in it.
 
     Keys of more than 1 / HOT of those rows, fewer than HOT, are told to every task, and their rows
     travel under a number made of ``spread``, so that none of them fill one task."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.filter(F.col("n") * HOT > total).select(*keys, F.lit(True).alias("_hot"))
-    rest = counts.filter(F.col("n") * HOT <= total).select(*keys, F.lit(0).alias("_salt"), F.lit(True).alias("_known"))
+    total = told.agg(F.sum("n")).first()[0] or 0
+    hot = told.filter(F.col("n") * HOT > total).select(*keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in what])
+    rest = told.filter(F.col("n") * HOT <= total).select(*keys, F.lit(0).alias("_salt"), *[F.col(c).alias(f"_r_{c}") for c in what])
     apart = F.col("_hot").isNotNull()
     for k in keys:  # rows without a key match nothing, and need not meet either
         apart = apart | F.col(k).isNull()
     salt = F.when(apart, F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
     met = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(rest, [*keys, "_salt"], "left")
-    found = F.coalesce("_hot", "_known", F.lit(False)).alias(name)
-    return met.select(*[F.col(f"`{c}`") for c in rows.columns], found)
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(f"_h_{c}", f"_r_{c}").alias(c) for c in what])
+
+
+def is_among(rows: DataFrame, keys: list[str], counts: DataFrame, name: str, spread: list[str]) -> DataFrame:
+    """``rows`` with a boolean ``name``: whether their keys are in ``counts``."""
+    met = looked_up(rows, keys, counts.withColumn(name, F.lit(True)), [name], spread)
+    return met.withColumn(name, F.coalesce(name, F.lit(False)))

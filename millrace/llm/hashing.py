@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time; one document may exceed it, in steps of SEGMENT.
-SLICE = 2 << 20
-SEGMENT = 1 << 20
+SLICE = 1 << 19
+SEGMENT = 1 << 18
 _BASES = ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import deal_blocks, each_group, pairs_of, smallest_reachable
-from .common import cut, small_batches, table
+from .common import cut, looked_up, small_batches, table
 from .components import components
 from .hashing import Words, mix, slices, window_hashes
 
@@ -274,18 +274,20 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     proposed = components(candidates(classes))
     roots = proposed.select(F.col("root").alias("node"), "root").distinct()
     members = cut(proposed.unionByName(roots))
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    groups = members.join(sizes, "root").join(grouped.select("node", "id", "t", "copies"), "node")
+    sizes = cut(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.col("n")))
+    groups = looked_up(members, ["root"], sizes, ["size"], ["node"]).join(grouped.select("node", "id", "t", "copies"), "node")
     linked = cut(verify(keyed_texts(docs), cut(groups), threshold))
     final = components(linked.select(F.col("id").alias("a"), F.col("hub").alias("b")))
     links = linked.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "node")
     told = cut(grouped.join(links, "node", "left").join(final, "node", "left").withColumn("root", F.coalesce("root", "node")))
     # the first document of each class of classes, by id and then by text
-    least = told.groupBy("root").agg(F.min(F.struct("id", "t")).alias("least"))
+    least = cut(told.groupBy("root").agg(F.min(F.struct("id", "t")).alias("least"), F.count(F.lit(1)).alias("n")))
     n_links = F.coalesce("links", F.lit(0)) + F.when(F.col("n") > 0, F.col("copies") - 1).otherwise(0)
-    told = cut(told.join(least, "root").select("node", "least", n_links.alias("n_links")))
+    found = looked_up(told.select("node", "root", "copies", n_links.alias("n_links")), ["root"], least, ["least"], ["node"])
+    found = cut(found.select("node", F.col("copies").alias("n"), "least", "n_links"))
     kept = (F.col("n") == 0) | ((F.col("id") == F.col("least.id")) & (F.col("t") == F.col("least.t")))
-    return keyed.select("id", "t", "n", "node").join(told, "node").select("id", "t", "n", F.col("least.id").alias("class_id"), "n_links", kept.alias("kept"))
+    out = looked_up(keyed.select("id", "t", "n", "node"), ["node"], found, ["least", "n_links"], ["id", "t"])
+    return out.select("id", "t", "n", F.col("least.id").alias("class_id"), "n_links", kept.alias("kept"))
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
