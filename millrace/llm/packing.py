@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, is_among, small_batches, table
 from .hashing import slices
 
 CAPACITY = 2048
@@ -194,11 +194,17 @@ def pack(pieces: DataFrame, lot_rows: int = LOT, rounds: int | None = None) -> D
     """Adds sequence_id and offset to what ``tokenize`` returns; ``gap`` says how
     far a piece's lot may be from the fewest sequences. ``rounds`` is a bound for
     those who want one."""
-    rest = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
+    rest = cut(pieces.select("*", F.xxhash64("doc_id", "piece", "ids_crc32").alias("same"), F.monotonically_increasing_id().alias("row")))
+    again = cut(rest.groupBy("same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    if again.isEmpty():
+        rest = rest.drop("same").withColumn("row", F.lit(None).cast("bigint"))
+    else:  # rows that are equal are told apart by their number, all others go by what they are
+        rest = is_among(rest, ["same"], again, "twice", ["row"])
+        rest = cut(rest.withColumn("row", F.when(F.col("twice"), F.col("row"))).drop("same", "twice"))
     n, sequences, before, done = rest.count(), None, None, []
     for turn in count():
         lots = max(1, -(-n // lot_rows))
-        key = F.pmod(F.xxhash64(F.lit(turn), "row"), F.lit(lots)).alias("lot")
+        key = F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32", "row"), F.lit(lots)).alias("lot")
         dealt = rest.select("*", key).groupBy("lot").applyInPandas(_pack_lot, f"{_ROW}, row bigint, lot bigint, bin bigint, offset bigint, open boolean, gap bigint")
         number = F.lit(turn).cast("long") * (1 << 48) + F.col("lot") * (1 << 20) + F.col("bin")
         packed = cut(dealt.withColumn("sequence_id", number))

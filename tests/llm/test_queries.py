@@ -183,3 +183,16 @@ def test_large_ways_give_the_same(spark, folder, monkeypatch, name, module, name
 
 def test_sql_has_queries():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_repeated_pieces_go_to_many_lots(spark):
+    """Equal rows are dealt apart, and each is packed."""
+    from millrace.llm import packing
+
+    rows = [(None, 0, 0, 700, 5)] * 900 + [(i, 0, 0, 600, i) for i in range(100)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, piece bigint, start bigint, length bigint, ids_crc32 bigint").repartition(3)
+    got = packing.pack(pieces, lot_rows=50).toPandas()
+    assert len(got) == 1000 and got.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert got["doc_id"].isna().sum() == 900
+    lots = (got[got["doc_id"].isna()]["sequence_id"] // (1 << 20)).value_counts()
+    assert lots.max() < 120 and got["sequence_id"].nunique() <= 450 + 34
