@@ -7,13 +7,11 @@ columns of documents. SQL cannot express the models, so there is no ORACLE_SQL.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.shared import scratch
 from millrace.llm import mixing, neardup, packing, quality, secrets
 from millrace.llm.common import table
 
@@ -58,12 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what lies between is written to the shared folder."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    folder = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{folder.toString()}/{i}"
+        path = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
