@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -173,6 +175,28 @@ def test_embeddings(spark):
     assert got == {i: (links[i], find(i), find(i) == i) for i in root}
 
 
+def test_embeddings_are_copied_once(spark, monkeypatch):
+    """Strips of a large label: the links of brute force, and disk in proportion to the table."""
+    r = np.random.default_rng(4)
+    m = r.normal(size=(3000, 64)).astype("f4")
+    m[1000:1400] = m[:400] + 0.09 * r.normal(size=(400, 64)).astype("f4")  # cosines on both sides of the threshold
+    m[1400:1500] = m[0] + 0.02 * r.normal(size=(100, 64)).astype("f4")
+    df = spark.createDataFrame([(i, x.tolist(), 1 + (i % 10 == 9)) for i, x in enumerate(m)], "vec_id bigint, embedding array<float>, label int")
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1)[:, None]
+    of = np.arange(3000) % 10 == 9
+    linked = (unit @ unit.T >= 0.98) & (of[:, None] == of[None, :]) & ~np.eye(3000, dtype=bool)
+    root = np.arange(3000)
+    while ((least := np.where(linked, root[None, :], 3000).min(axis=1)) < root).any():
+        root = np.minimum(root, least)
+    monkeypatch.setattr(embeddings, "CELL", 700)
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    before = sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embeddings.embedding_links(df).collect()}
+    assert got == {i: (int(linked[i].sum()), int(root[i])) for i in range(3000)}
+    assert sum(f.stat().st_size for f in folder.rglob("*") if f.is_file()) - before < 3 * m.nbytes
+
+
 def test_sharding(docs, texts):
     got = sharding.kd_shards(docs.select("doc_id", "text", "lang", "source", "n_chars"), 4, ("lang", "source", "n_chars")).toPandas()
     assert len(got) == len(texts) and set(got["shard"]) <= set(range(4))
