@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +20,9 @@ from ..functions.shared import scratch
 from ..plans.config import MAX_LINE_BYTES
 
 SCHEMA = "__src int, __block string, __seq bigint, __line string"
+_LINE = ("__src", "__block", "__seq", "__line")
+#: A scheme before a path without a host, which is written with one slash or three.
+_NO_HOST = "^([A-Za-z][A-Za-z0-9+.-]*):///"
 
 
 def _clean(value: Column, cap: int) -> Column:
@@ -68,23 +72,65 @@ def file_bytes(spark: SparkSession, inputs: list[str]) -> int:
     return total
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    """A path as ``__uri`` has it."""
+    return re.sub(_NO_HOST, r"\1:/", spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toString())
+
+
+def _listed(spark: SparkSession, path: str) -> list[str] | None:
+    """The files of an input, or None if it has to be read by itself: it is
+    missing, or a file's name would be taken for a pattern."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    if found is None or not len(found):
+        return None
+    if len(found) == 1 and found[0].isFile():
+        files = [found[0].getPath().toString()]
+    else:
+        jvm = spark._jvm
+        files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString() for f in spark.read.text(path).inputFiles()]
+    return None if any(set(f) & set("*?[]{}\\") for f in files) else files
+
+
+def _read(spark: SparkSession, paths: list[str], max_line_bytes: int) -> DataFrame:
+    # the default separator would also split on a lone carriage return
+    raw = spark.read.option("lineSep", "\n").text(paths)
+    at = F.concat_ws(":", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"))
+    df = raw.select(F.regexp_replace("_metadata.file_path", _NO_HOST, "$1:/").alias("__uri"), at.alias("__block"), _clean(F.col("value"), max_line_bytes).alias("__line"))
+    return df.filter("__line <> ''").select("__uri", "__block", F.monotonically_increasing_id().alias("__seq"), "__line")
+
+
 def read_lines(spark: SparkSession, inputs: list[str], max_line_bytes: int = MAX_LINE_BYTES, missing_ok: bool = False) -> DataFrame:
     """Plain, gzip and zstd files by suffix, in the order given. A missing input
-    raises, or is empty under ``missing_ok``."""
-    parts = []
+    raises, or is empty under ``missing_ok``.
+
+    However many inputs there are, the plan has one scan: a table of files says
+    which input a line is of. A file that is given again is in another scan."""
+    rounds: list[dict[str, tuple[str, int]]] = []
+    alone = []
     for i, path in enumerate(inputs):
         if missing_ok and not _exists(spark, path):
             continue
-        # the default separator would also split on a lone carriage return
-        raw = spark.read.option("lineSep", "\n").text(path)
-        at = F.concat_ws(":", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"))
-        df = raw.select(F.lit(i).alias("__src"), at.alias("__block"), _clean(F.col("value"), max_line_bytes).alias("__line"))
-        parts.append(df.filter("__line <> ''").select("__src", "__block", F.monotonically_increasing_id().alias("__seq"), "__line"))
+        if (files := _listed(spark, path) if len(inputs) > 1 else None) is None:
+            alone.append((i, path))
+            continue
+        for file in files:
+            uri = _uri(spark, file)
+            free = next((r for r in rounds if uri not in r), None)
+            if free is None:
+                rounds.append(free := {})
+            free[uri] = (file, i)
+    parts = [_read(spark, [path], max_line_bytes).withColumn("__src", F.lit(i)) for i, path in alone]
+    for r in rounds:
+        known = spark.createDataFrame([(uri, i) for uri, (_, i) in r.items()], "__uri string, _i int")
+        lines = _read(spark, [file for file, _ in r.values()], max_line_bytes).join(F.broadcast(known), "__uri", "left")
+        lost = F.raise_error(F.concat(F.lit("no input has the file "), F.col("__uri"))).cast("int")
+        parts.append(lines.withColumn("__src", F.when(F.col("_i").isNull(), lost).otherwise(F.col("_i"))))
     if not parts:
         return spark.createDataFrame([], SCHEMA)
-    out = parts[0]
+    out = parts[0].select(*_LINE)
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p.select(*_LINE))
     return out
 
 

@@ -218,6 +218,41 @@ def test_batches_and_order(spark, tmp_path):
         assert [r["at"] for r in read_dump(spark, dump).collect()] == [n * 1000 + i for n in range(3) for i in range(400)]
 
 
+def test_many_inputs_are_one_scan(spark, tmp_path):
+    """Files of odd names, folders and repeats, each line with its place in the list of inputs."""
+    import zstandard
+
+    inputs, want = [], []
+    for i in range(12):
+        name, lines = f"q {i % 3}%20é+#{i}.jsonl", [f'{{"a":{10 * i}}}', "", "x", f'{{"a":{10 * i + 1}}}']
+        if i % 3 == 0:
+            path = tmp_path / f"{name}.zst"
+            path.write_bytes(zstandard.ZstdCompressor().compress("\n".join(lines).encode()))
+        elif i % 3 == 1:
+            path = tmp_path / f"{name}.gz"
+            path.write_bytes(gzip.compress("\n".join(lines).encode()))
+        else:
+            path = put(tmp_path, name, lines)
+        inputs.append(f"file://{path}" if i % 2 else str(path))
+        want += [10 * i, 10 * i + 1]
+    for k in range(2):
+        (tmp_path / f"folder {k}").mkdir()
+        put(tmp_path / f"folder {k}", "in.jsonl", [f'{{"a":{500 + k}}}'])
+        inputs.insert(0, str(tmp_path / f"folder {k}"))
+        want.insert(0, 500 + k)
+    inputs += [inputs[7], put(tmp_path, "b?.jsonl", ['{"a":900}'])]  # again, and a name that Spark would take for a pattern
+    want += [50, 51, 900]
+    cfg = Config(tuple(inputs), print_schema=True)
+    df = to_dataframe(spark, cfg)
+    assert sorted(r.a for r in df.collect()) == sorted(want)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 3
+    errors = rows(collect_errors(spark, cfg))
+    assert sorted(e[0] for e in errors) == list(range(4, 41, 3))
+    out = tmp_path / "out.parquet"
+    convert(spark, Config(tuple(inputs), output_path=str(out), single_file=True))
+    assert pq.read_table(out)["a"].to_pylist() == want
+
+
 def test_over_long_lines_and_zstd(spark, tmp_path):
     import zstandard
 
